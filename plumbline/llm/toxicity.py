@@ -153,12 +153,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learned(documents: DataFrame, labels: DataFrame, *, fit_rows: int = 3000, most_lexemes: int = 2000) -> Model:
+def learned(documents: DataFrame, labels: DataFrame, *, fit_rows: int = 3000, most_lexemes: int = 2000, toxic_share: float = 0.3) -> Model:
     """A model from at most fit_rows toxic and fit_rows other labelled documents that aren't held out.
 
     They are the first by md5 of their id, so the sample is the same on every run. A
     lexeme must be far likelier in toxic documents than chance over all candidates
-    would explain, so few labels teach few lexemes; none leave the plain list."""
+    would explain, so few labels teach few lexemes; none leave the plain list. The
+    logistic end is fitted as if toxic_share of the documents were toxic."""
     spark = documents.sparkSession
     marked = labels.select(F.col("doc_id").cast("string").alias("id"), (F.col("toxic") == 1).alias("toxic")).where("id is not null and toxic is not null")
     marked = marked.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -187,8 +188,11 @@ def learned(documents: DataFrame, labels: DataFrame, *, fit_rows: int = 3000, mo
     kept = counts.withColumn("gain", 2 * (gain(F.col("t"), both * rate) + gain(F.col("c"), both * (1 - rate))))
     kept = kept.withColumn("weight", ratio - F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) * 0.5)
     kept = kept.where((F.col("t") >= 3) & (F.col("gain") >= 2 * math.log(10 * candidates)) & (ratio > math.log(10)) & (F.col("weight") > 1))
-    kept = kept.orderBy(F.col("gain").desc(), "feature").limit(most_lexemes).select("feature", "weight").collect()
-    model.lexemes = {r["feature"]: r["weight"] for r in kept}
+    kept = kept.orderBy(F.col("gain").desc(), "feature").limit(most_lexemes).select("feature", "weight", "t").collect()
+    seen_in = {r["feature"]: r["t"] for r in kept}
+    # A beginning says no more than the one longer feature that explains nearly all of it, and meets more other words.
+    implied = {f[:n] + "-" for f in seen_in for n in STEMS if n < len(f.rstrip("-")) and seen_in[f] >= 0.8 * seen_in.get(f[:n] + "-", math.inf)}
+    model.lexemes = {r["feature"]: r["weight"] for r in kept if r["feature"] not in implied}
 
     def clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
@@ -199,8 +203,8 @@ def learned(documents: DataFrame, labels: DataFrame, *, fit_rows: int = 3000, mo
     rows = sample.mapInArrow(clauses, "toxic boolean, most double, total double").collect()
     x = np.array([[1.0, r["most"], math.log1p(r["total"])] for r in rows])
     y = np.array([float(r["toxic"]) for r in rows])
-    # The sample has its own share of toxic documents; no class is weighted by it.
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(len(y) - y.sum(), 1)) * len(y)
+    # The sample has its own share of toxic documents; rows are weighted to the share that a missed one is worth.
+    share = np.where(y > 0, toxic_share / max(y.sum(), 1), (1 - toxic_share) / max(len(y) - y.sum(), 1)) * len(y)
     at = np.array([-3.0, 1.0, 0.0])
     ridge = np.diag([1e-3, 0.05, 0.05]) * len(y)
     for _ in range(40):
