@@ -50,6 +50,8 @@ SPAN = re.compile(r"(col|row)span\s*=\s*[\"']?\s*(\d{1,4})", re.I)
 FIRST = re.compile(r"(?:^|\s)start\s*=\s*[\"']?\s*(-?\d{1,9})", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
+#: Elements nested deeper become siblings, as in browsers.
+DEPTH = 512
 #: Cells are padded to their column up to this width; tables in cells are drawn as tables up to this depth.
 CELL_WIDTH, TABLE_DEPTH = 40, 8
 
@@ -65,18 +67,33 @@ def tree(source: str) -> Node:
     """The element tree of a page, whatever it lacks."""
     root = Node("#root")
     stack = [root]
+    open_: dict[str, int] = {}
+
+    def push(node: Node) -> None:
+        if len(stack) < DEPTH:
+            stack.append(node)
+            open_[node.tag] = open_.get(node.tag, 0) + 1
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            open_[node.tag] -= 1
+        del stack[i:]
 
     def close(names: set[str], until: set[str]) -> None:
+        if not any(open_.get(n) for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in until:
                 return
 
     at, end = 0, len(source)
+    # Nothing after the last ">" can be a whole tag; looking for one from every "<" would take forever.
+    last = max(source.rfind(">"), source.rfind("<!"))
     while at < end:
-        m = TAG.search(source, at)
+        m = TAG.search(source, at) if at <= last else None
         if m is None:
             stack[-1].children.append(source[at:])
             break
@@ -90,9 +107,9 @@ def tree(source: str) -> Node:
         tag, attributes = m[2].lower(), m[3]
         if m[1]:
             inline = tag not in BLOCKS and tag not in UNSEEN
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 # An inline end tag doesn't reach out of a block, nor a block's out of a cell.
                 if (inline and stack[i].tag in BLOCKS) or (tag != "table" and stack[i].tag == "table") or (tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th") and stack[i].tag in ("td", "th")):
@@ -108,7 +125,7 @@ def tree(source: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
@@ -118,7 +135,7 @@ def tree(source: str) -> Node:
             node.children.append(source[at : stop.start() if stop else end])
             at = stop.end() if stop else end
             continue
-        stack.append(node)
+        push(node)
     return root
 
 
