@@ -8,9 +8,10 @@ estimates high similarities; pairs that it puts far below the threshold go, the
 others are confirmed on full shingle sets.
 
 Large groups: equal sets collapse to one representative first. A bucket gives each
-member one edge to its smallest member, not all pairs; a pair within a bucket is
-compared further only while its two ends are in different components. So no link
-between different components is lost, and a group of m copies costs m edges.
+member one edge to its smallest member, not all pairs. Members of one bucket that are
+still in different components then meet in blocks, where pairs are compared but only
+the links that join components are kept. So no link between components is lost, a
+group of m copies costs m edges, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -120,7 +121,87 @@ def confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     joined = left.join(right.hint("merge"), F.col("b") == F.col("hub")).select("a", "b", "text_a", "text_b")
-    return written(joined.mapInArrow(run, "a long, b long").distinct(), "links")
+    out = written(joined.mapInArrow(run, "a long, b long").distinct(), "links")
+    dropped(hubs)
+    return out
+
+
+#: Members of a bucket that are compared as one block with another.
+BLOCK = 200
+
+
+class Groups:
+    """Union-find over a few nodes."""
+
+    def __init__(self, labels: list[int]) -> None:
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+
+def linked_in_block(reps: list[int], labels: list[int], sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, percent: int, limit: int) -> list[tuple[int, int]]:
+    """Links that join different components between the rows of side 0 and of side 1 (2: of both).
+
+    Pairs that a link found before has brought into one component are skipped; all
+    others that sizes and sketches allow are compared in full."""
+    groups, out = Groups(labels), []
+    sizes = np.array([len(x) for x in sets])
+    for i in np.flatnonzero(side != 1):
+        near = np.bitwise_count(sketches ^ sketches[i]).sum(axis=1) <= limit
+        near &= (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (side != 0) & ((side != 2) | (np.arange(len(sizes)) > i))
+        for j in np.flatnonzero(near):
+            x, y = groups.top(i), groups.top(j)
+            if x != y:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    groups.up[max(x, y)] = min(x, y)
+                    out.append((max(reps[i], reps[j]), min(reps[i], reps[j])))
+    return out
+
+
+def met_in_blocks(rows: DataFrame, sketches: DataFrame, documents: DataFrame, shingle: int, percent: int, limit: int) -> DataFrame:
+    """Links (a, b) between members of one bucket in different components; rows: (key, rep, label, members).
+
+    A bucket is cut into blocks of BLOCK members and every two blocks meet in one
+    group, so no task holds more than two blocks however large the bucket is, and only
+    links leave it, not the pairs that were compared."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Side 0 and 1 are the blocks of smaller and larger number, 2 is a block that meets itself.
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    cut = cut.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "rep", "label")
+    reps = written(rows.select("rep").distinct(), "reps")
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    texts = texts.join(sized(reps, 16), F.col("id") == F.col("rep")).select("rep", "text").join(sketches, "rep")
+    # One text for each row of a large table: the side with the texts has one row per rep, the other can be split.
+    met = cut.join(texts, "rep").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, at, group = WordHashes(), None, []
+
+        def found() -> pa.RecordBatch:
+            pairs = linked_in_block([g[0] for g in group], [g[1] for g in group], [g[2] for g in group], np.array([g[3] for g in group], np.int64).view(np.uint64), np.array([g[4] for g in group]), percent, limit) if group else []
+            return pa.RecordBatch.from_arrays([pa.array([q[i] for q in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                now = tuple(cols[n][i].as_py() for n in ("key", "x", "y"))
+                if now != at:
+                    yield found()
+                    at, group = now, []
+                sets = np.unique(shingles(hashes.of(words_of(cols["text"][i].as_py())), shingle))
+                group.append((cols["rep"][i].as_py(), cols["label"][i].as_py(), sets, cols["sketch"][i].as_py(), cols["side"][i].as_py()))
+        yield found()
+
+    out = written(met.mapInArrow(run, "a long, b long").distinct(), "links")
+    dropped(reps)
+    return out
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, samples: int = 128, rows: int = 4, bits: int = 512, slack: float = 0.2) -> DataFrame:
@@ -169,20 +250,15 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
         links = links.unionAll(confirmed(more, documents, shingle, percent))
         labels = components(links)
 
-    # What is left: members of one bucket in different components, compared with the others of their bucket by sketch.
-    named = active.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "hub", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed_up = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    open_ = written(named.join(mixed_up, "key").join(sketches, "rep"), "open")
+    # What is left: buckets whose members are in different components.
+    named = active.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    mixed_up = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most").select("key", "members")
+    open_ = written(named.join(mixed_up, "key"), "open")
     if not open_.isEmpty():
-        x = open_.select("key", F.col("hub"), F.col("rep").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sketch_a"))
-        y = open_.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sketch_b"))
-        met = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("b") != F.col("hub")) & (apart("sketch_a", "sketch_b", bits) <= limit))
-        rest = written(met.select("a", "b").distinct(), "rest")
-        if not rest.isEmpty():
-            links = links.unionAll(confirmed(rest, documents, shingle, percent))
-            labels = components(links)
-    dropped(open_)
-    dropped(active)
+        links = links.unionAll(met_in_blocks(open_, sketches, documents, shingle, percent, limit))
+        labels = components(links)
+    for used in (near, best, more, open_, active):
+        dropped(used)
 
     least = classes.select("s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(least, ["s1", "s2"], "left")

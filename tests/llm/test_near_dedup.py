@@ -100,3 +100,20 @@ def test_sketch_estimates_similarity():
             x, y = sketcher.of(draw[:n])[1], sketcher.of(draw[n - both :])[1]
             far.append(int(np.bitwise_count((x ^ y).view(np.uint64)).sum()))
         assert abs(np.mean(far) - most_bits(128, 512, similarity)) < 8
+
+
+def test_buckets_of_unlinked_members_meet_in_blocks(spark, monkeypatch):
+    """A family whose members are often too far from the smallest one, in blocks of three."""
+    monkeypatch.setattr("plumbline.llm.near_dedup.BLOCK", 3)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 8])):
+            copy[rng.randrange(150)] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect()}
+    assert got == brute(texts)
+    assert 1 < len({c for _, c, _ in got.values()}) < 120
