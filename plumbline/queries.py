@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as lex
 from plumbline.functions import text as tx
-from plumbline.operators import calibration, metrics, retrieval, sequence, spans, splits, vectors
+from plumbline.operators import calibration, detector, heads, metrics, retrieval, rules, sequence, spans, splits, vectors
 from plumbline.operators import features as ft
 from plumbline.plans import verify as vf
 from plumbline.sources.pairs import pairs_of_conversations
@@ -522,3 +522,48 @@ def page_links(spark, sf):
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""")
 def visible_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.visible(F.col("html")).alias("text"))
+
+
+# ---- rules, detector, heads
+
+
+_NUM = r"list_transform(regexp_extract_all(coalesce({}, ''), '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.'))"
+
+
+@query(f"WITH {PAIRS}, s AS (SELECT pair_id, unnest({_NUM.format('answer')}) AS value FROM pairs), c AS (SELECT DISTINCT pair_id, unnest({_NUM.format('context')}) AS value FROM pairs) SELECT pair_id, value, count(*)::BIGINT AS n FROM s ANTI JOIN c USING (pair_id, value) GROUP BY ALL")
+def missing_numbers(spark, sf):
+    return rules.missing_numbers(pairs(spark, sf))
+
+
+@query()
+def fact_coverage(spark, sf):
+    out = rules.coverage(pairs(spark, sf))
+    return out.select("pair_id", F.col("sentence").cast("long"), "value", F.round("overlap", 6).alias("overlap"), "status")
+
+
+@query()
+def style_scores(spark, sf):
+    out = detector.analyze(table(spark, sf, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text")
+    return out.select("id", "n_words", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"), "n_spans")
+
+
+@query()
+def weight_grid(spark, sf):
+    """AUC of the weight grid's cells for telling whether a token's word occurs in the context."""
+    rows = ft.token_features(pairs(spark, sf)).where("scored").withColumn("label", (F.col("mass") < 1).cast("int"))
+    return heads.grid_auc(rows, "label", ["entropy", "max_sim", "density"], step=5).withColumn("auc", F.round("auc", 6))
+
+
+@query(f"""WITH {PAIRS}, {_SENT}, d AS (SELECT pair_id, passage, {_TERMS.format('text')} AS ts FROM s1), tf AS (SELECT pair_id, passage, t AS term, count(*) AS tf FROM (SELECT pair_id, passage, unnest(ts) AS t FROM d) GROUP BY 1, 2, 3),
+    df AS (SELECT pair_id, term, count(*) AS df FROM tf GROUP BY 1, 2), st AS (SELECT pair_id, count(*) AS n, avg(len(ts)) AS mean FROM d GROUP BY 1), q AS (SELECT DISTINCT pair_id, unnest({_TERMS.format('context')}) AS term FROM pairs),
+    sc AS (SELECT pair_id, passage, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / mean))) AS score FROM q JOIN tf USING (pair_id, term) JOIN df USING (pair_id, term) JOIN d USING (pair_id, passage) JOIN st USING (pair_id) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY round(score, 9) DESC, passage) AS rank FROM sc), g AS (SELECT pair_id, arg_max(passage, (length(text), -passage)) AS passage FROM s1 GROUP BY pair_id)
+    SELECT k::BIGINT AS k, count(*)::BIGINT AS n, round(avg(CASE WHEN rank <= k THEN 1 ELSE 0 END), 6)::DOUBLE AS recall FROM g LEFT JOIN r USING (pair_id, passage), (VALUES (1), (3), (5)) t(k) GROUP BY k""")
+def recall_at_k(spark, sf):
+    """How often the longest sentence of the answer is among the first k for the question."""
+    p = pairs(spark, sf)
+    found = F.filter(tx.sentence_array(F.col("answer")), lambda x: F.btrim(x, F.lit(tx.BLANKS)) != "")
+    passages = p.select("pair_id", F.posexplode(found).alias("passage", "text"))
+    gold = passages.groupBy("pair_id").agg(F.max_by("passage", F.struct(F.length("text"), -F.col("passage"))).alias("passage"))
+    top = retrieval.top_passages(retrieval.bm25(p.select("pair_id", F.col("context").alias("query")), passages, "pair_id"), "pair_id", 5)
+    return retrieval.recall(top, gold, "pair_id").select(F.col("k").cast("long"), "n", F.round("recall", 6).alias("recall"))
