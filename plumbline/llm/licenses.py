@@ -98,6 +98,7 @@ FORMS = (
     (4, 0.75, "under (?:the )?(?:terms of (?:the )?)?{}(?: license| licence)"),
     (5, 0.6, "{} (?:license|licence)"),
     (6, 0.5, "(?:license|licence|licensed) {}"),
+    (7, 0.4, "{}"),
 )
 
 #: Sentences that identify a licence by themselves: label, keyword, regex.
@@ -131,8 +132,8 @@ class Rule:
 
 
 def ruled() -> list[Rule]:
-    """All rules in order: every form of every family, then the sentences."""
-    out = [(label, word, priority, sure, form.replace("{}", name)) for priority, sure, form in FORMS for label, word, name in FAMILIES]
+    """All rules in order: every form of every family, then the sentences; a bare name must say "license" itself."""
+    out = [(label, word, priority, sure, form.replace("{}", name)) for priority, sure, form in FORMS for label, word, name in FAMILIES if form != "{}" or " license" in name]
     out += [(label, word, 1, 0.98, text) for label, word, text in SENTENCES]
     return [Rule(i, *x) for i, x in enumerate(out)]
 

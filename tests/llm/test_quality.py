@@ -14,7 +14,7 @@ def brute(text):
             "n_stop_words": sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in words)}
 
 
-GOOD = " ".join(f"the house{i} of stone{i} was old and" for i in range(20))
+GOOD = " ".join(f"the house{i} of stone{i} near river{i} was old{i} and" for i in range(20))
 TEXTS = [
     GOOD, GOOD + "\n" + GOOD, "a b c a b c", "a a a a a", "a b", "", None, " \n ", "x\ny\nx\nx", "Ha " * 300, "# $ % | <b> &amp;", "tab\tand\x0bvt\x0cff\rcr",
     "one two three four one two three five " * 40, "é ü 漢字 𝒳 the", "a\x1cb c d", " ".join(f"w{i % 50}" for i in range(20_000)),
