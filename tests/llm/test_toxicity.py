@@ -42,7 +42,7 @@ def labelled(spark, n=300):
     docs, labels = [], []
     for i in range(n):
         bad = i % 3 == 0
-        docs.append((i, f"some plain words number {i} and " + (f"zorgx{i % 5} here. you are zorgx{i % 4}" if bad else "fine things here"), "en", "s", 0.5))
+        docs.append((i, f"some plain words number {i} and " + (f"zorgx{'abcde'[i % 5]} here. you are zorgx{'fghi'[i % 4]}" if bad else "fine things here"), "en", "s", 0.5))
         labels.append((i, 0, int(bad)))
     return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
