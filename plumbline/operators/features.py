@@ -56,7 +56,7 @@ def number_groups(tokens: DataFrame, key: str = "pair_id") -> DataFrame:
     table = F.create_map(*(F.lit(x) for k, v in lex.NUMBER_PARTS.items() for x in (k.replace("ё", "е"), v)))
     word = tx.plain(F.col("text"))
     whole = W.partitionBy(key, "__run").orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    words = F.collect_list(word).over(whole)
+    words = F.collect_list(F.when(F.col("__run").isNotNull(), word)).over(whole)
     parts = F.transform(words, lambda x: F.try_element_at(table, x))
     # Thousands multiply what stands before them, all else adds up.
     folded = F.aggregate(
@@ -85,11 +85,14 @@ def measured(tokens: DataFrame, key: str, value: Column) -> DataFrame:
     rows = tokens.withColumn("__word", word).withColumn("__value", value)
     rows = rows.withColumn("__part", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     usable = (F.col("__word") != "") & ~F.col("__word").isin(lex.SUBJECT_SKIP) & ~F.col("__word").rlike("^[0-9]+$") & ~ends
+    # Each usable word carries the ones before it, and a number takes what the last of them carries.
+    own = W.partitionBy(key, "__part", "__usable").orderBy("idx")
+    window = F.array(*(F.lag("__word", d).over(own) for d in range(lex.SUBJECT_WINDOW - 1, 0, -1)), F.col("__word"))
+    rows = rows.withColumn("__usable", usable).withColumn("__near", F.when(F.col("__usable"), F.array_compact(window)))
     before = W.partitionBy(key, "__part").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    near = F.collect_list(F.when(usable, F.col("__word"))).over(before)
-    rows = rows.withColumn("subject", F.slice(near, F.greatest(F.lit(1), F.size(near) - lex.SUBJECT_WINDOW + 1), lex.SUBJECT_WINDOW))
+    rows = rows.withColumn("subject", F.coalesce(F.last("__near", ignorenulls=True).over(before), F.array().cast("array<string>")))
     rows = rows.withColumn("__before", F.lag("__word").over(w))
-    return rows.withColumn("is_document", F.coalesce(F.substring("__before", 1, 4).isin(lex.DOCUMENT_STEMS), F.lit(False))).drop("__word", "__part", "__before")
+    return rows.withColumn("is_document", F.coalesce(F.substring("__before", 1, 4).isin(lex.DOCUMENT_STEMS), F.lit(False))).drop("__word", "__part", "__before", "__usable", "__near")
 
 
 def measurements(pairs: DataFrame) -> DataFrame:
@@ -165,7 +168,7 @@ def token_features(pairs: DataFrame, k: int = 5) -> DataFrame:
     entropy = F.least(F.lit(1.0), F.when(F.col("word").isin([w.replace("ё", "е") for w in lex.BOILERPLATE]), 0.6).otherwise(0.0) + F.when(F.col("in_cliche"), 0.4).otherwise(0.0) + F.when(seen, 0.2).otherwise(0.0))
     rows = rows.withColumns({"entropy": entropy, "mass": mass, "max_sim": F.least(F.lit(1.0), zero("max_sim")), "density": F.least(F.lit(1.0), zero("top_mean") / lex.DENSITY_REFERENCE)})
     rows = mass_norm(rows)
-    return rows.withColumn("scored", tx.is_scored(F.col("text"))).select("pair_id", "idx", "text", "start", "end", "value", "content", "scored", *lex.WEIGHTS)
+    return rows.withColumn("scored", tx.is_scored(F.col("text"))).select("pair_id", "idx", "text", "start", "end", "value", F.coalesce("borrowed", F.lit(False)).alias("borrowed"), "content", "scored", *lex.WEIGHTS)
 
 
 def mass_norm(rows: DataFrame) -> DataFrame:

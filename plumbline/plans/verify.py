@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as lex
@@ -36,12 +37,33 @@ def mask_spans(risks: DataFrame, limits: DataFrame) -> DataFrame:
     return out.select("pair_id", "start", "end", "risk", "n_tokens", (F.col("end") - F.col("start")).alias("n_chars"))
 
 
+def score_of(risks: Column) -> Column:
+    """Half the mean and half the mean of the top fifth of risks in falling order; 0 without any."""
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
+    top = F.slice(risks, 1, F.greatest(F.lit(1), F.floor(F.size(risks) * lex.TOP_SHARE + 1e-9).cast("int")))
+    return F.when(F.size(risks) > 0, 0.5 * mean(risks) + 0.5 * mean(top)).otherwise(0.0)
+
+
 def answer_scores(risks: DataFrame) -> DataFrame:
-    """(pair_id, score): half the mean and half the mean of the top fifth of the scored risks."""
+    """(pair_id, score) by score_of the scored risks."""
     held = risks.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.when(F.col("scored"), F.col("smooth"))), asc=False).alias("v"))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-    top = F.slice("v", 1, F.greatest(F.lit(1), F.floor(F.size("v") * lex.TOP_SHARE + 1e-9).cast("int")))
-    return held.select("pair_id", F.when(F.size("v") > 0, 0.5 * mean(F.col("v")) + 0.5 * mean(top)).otherwise(0.0).alias("score"))
+    return held.select("pair_id", score_of(F.col("v")).alias("score"))
+
+
+def spanned(risks: DataFrame, z: float = lex.SPAN_Z, floor: float = lex.SPAN_FLOOR, cap: float = lex.SPAN_CAP) -> DataFrame:
+    """risks with span_threshold, flagged, island and island_chars: thresholds() and mask_spans() as windows over each pair.
+
+    All windows are by pair, like the smoothing before them, so tokens are shuffled once for all of it."""
+    pair = W.partitionBy("pair_id")
+    rows = risks.withColumn("__s", F.when(F.col("scored"), F.col("smooth")))
+    rows = rows.withColumn("__m", F.median("__s").over(pair))
+    rows = rows.withColumn("__d", F.median(F.abs(F.col("__s") - F.col("__m"))).over(pair))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(min(0.999, cap)), F.greatest(F.col("__m") + z * 1.4826 * F.col("__d"), F.lit(floor))))
+    rows = rows.withColumn("span_threshold", F.round(F.coalesce(value, F.lit(1.0)), 12)).withColumn("flagged", F.col("scored") & (F.col("smooth") >= F.col("span_threshold")))
+    rows = rows.withColumn("island", F.when(F.col("flagged"), F.col("idx") - F.sum(F.col("flagged").cast("int")).over(pair.orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow))))
+    each = W.partitionBy("pair_id", "island")
+    bare = F.col("start") + F.length(F.rtrim(F.col("text"), F.lit(tx.BLANKS)))
+    return rows.withColumn("island_chars", F.when(F.col("flagged"), F.max(bare).over(each) - F.min("start").over(each))).drop("__s", "__m", "__d")
 
 
 def verify(pairs: DataFrame, threshold: float = lex.THRESHOLD) -> DataFrame:
@@ -50,14 +72,13 @@ def verify(pairs: DataFrame, threshold: float = lex.THRESHOLD) -> DataFrame:
     verdict: empty without tokens, likely_hallucination from the threshold on, doubtful if
     a number belongs to another subject or the mask has enough tokens in a long enough
     span, else grounded."""
-    risks = token_risks(pairs)
-    limits = thresholds(risks)
-    spans = mask_spans(risks, limits).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("n_tokens").alias("mask_tokens"), F.max("n_chars").alias("longest"))
-    counts = risks.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    numbers = ft.attributions(pairs).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_borrowed"))
-    rows = pairs.select("pair_id")
-    for part in (counts, answer_scores(risks), limits, spans, numbers):
-        rows = rows.join(part, "pair_id", "left")
+    held = spanned(token_risks(pairs)).groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count_if("scored").alias("n_scored"), F.max("span_threshold").alias("span_threshold"),
+        F.sort_array(F.collect_list(F.when(F.col("scored"), F.col("smooth"))), asc=False).alias("v"),
+        F.count_distinct("island").alias("n_spans"), F.count_if("flagged").alias("mask_tokens"), F.max("island_chars").alias("longest"), F.count_if("borrowed").alias("n_borrowed"),
+    )
+    held = held.withColumn("score", score_of(F.col("v"))).drop("v")
+    rows = pairs.select("pair_id").join(held, "pair_id", "left")
     rows = rows.fillna(0, ["n_tokens", "n_scored", "n_spans", "mask_tokens", "longest", "n_borrowed", "score"]).fillna(1.0, ["span_threshold"])
     share = F.when(F.col("n_scored") > 0, F.col("mask_tokens") / F.col("n_scored")).otherwise(0.0)
     strong = (F.col("mask_tokens") >= lex.MIN_MASK_TOKENS) & (F.col("longest") >= lex.MIN_FRAGMENT_CHARS)

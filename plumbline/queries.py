@@ -191,10 +191,11 @@ _NUMBERS = f"""numbered AS (SELECT pair_id, idx, {number_sql('text')} AS own, {p
     groups AS (SELECT pair_id, min(idx) AS first, count(*) AS n, CASE WHEN bool_and(regexp_matches(word, '^[0-9]+$')) THEN regexp_replace(string_agg(word, '' ORDER BY idx), '^0+([0-9])', '\\1') END AS value FROM runs GROUP BY pair_id, run)"""
 
 
-@query(f"WITH {PAIRS}, {tokens_sql('ta', 'pairs', 'pair_id', 'context')}, {_NUMBERS} SELECT pair_id, first::BIGINT AS first, n::BIGINT AS n, value FROM groups")
+@query(f"WITH {tokens_sql('ta', '(SELECT doc_id AS pair_id, text AS context FROM documents)', 'pair_id', 'context')}, {_NUMBERS} SELECT pair_id, first::BIGINT AS first, n::BIGINT AS n, value FROM groups")
 def number_groups(spark, sf):
-    """Runs of numbers in contexts; the tables hold digits only, number words are tested apart."""
-    toks = ft.number_groups(tx.tokens(pairs(spark, sf), ["pair_id"], "context"))
+    """Runs of numbers in documents; the tables hold digits only, number words are tested apart."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), "text")
+    toks = ft.number_groups(tx.tokens(docs, ["pair_id"], "text"))
     own = tx.number_value(tx.edge_word(F.col("text"))).isNotNull()
     runs = sequence.islands(toks.where(own), "pair_id", "idx")
     return runs.groupBy("pair_id", "island").agg(F.min("idx").cast("long").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("value").alias("value")).drop("island")
@@ -530,14 +531,24 @@ def visible_text(spark, sf):
 _NUM = r"list_transform(regexp_extract_all(coalesce({}, ''), '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.'))"
 
 
-@query(f"WITH {PAIRS}, s AS (SELECT pair_id, unnest({_NUM.format('answer')}) AS value FROM pairs), c AS (SELECT DISTINCT pair_id, unnest({_NUM.format('context')}) AS value FROM pairs) SELECT pair_id, value, count(*)::BIGINT AS n FROM s ANTI JOIN c USING (pair_id, value) GROUP BY ALL")
+_NEIGHBOURS = "pairs AS (SELECT a.doc_id AS pair_id, a.text AS context, b.text AS answer FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
+
+
+def neighbours(spark, sf):
+    """Every document as the context of the next one."""
+    docs = table(spark, sf, "documents")
+    after = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("answer"))
+    return docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("context")).join(after, "pair_id")
+
+
+@query(f"WITH {_NEIGHBOURS}, s AS (SELECT pair_id, unnest({_NUM.format('answer')}) AS value FROM pairs), c AS (SELECT DISTINCT pair_id, unnest({_NUM.format('context')}) AS value FROM pairs) SELECT pair_id, value, count(*)::BIGINT AS n FROM s ANTI JOIN c USING (pair_id, value) GROUP BY ALL")
 def missing_numbers(spark, sf):
-    return rules.missing_numbers(pairs(spark, sf))
+    return rules.missing_numbers(neighbours(spark, sf))
 
 
 @query()
 def fact_coverage(spark, sf):
-    out = rules.coverage(pairs(spark, sf))
+    out = rules.coverage(neighbours(spark, sf))
     return out.select("pair_id", F.col("sentence").cast("long"), "value", F.round("overlap", 6).alias("overlap"), "status")
 
 
