@@ -58,13 +58,15 @@ class Items:
         if known:
             self.vocabulary = np.unique(np.concatenate(known))
         self.edges = np.linspace(0, BITS, radius + 2).astype(int)
-        self.index: dict[int, tuple[np.ndarray, list[dict[int, list[int]]]]] = {}
+        self.index: dict[int, tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
         for length, items in self.by_length.items():
             prints = np.concatenate([packed(planes(f, w).sum(axis=0, keepdims=True)) for _, f, w in items])
-            tables: list[dict[int, list[int]]] = [{} for _ in range(radius + 1)]
-            for i, blocks in enumerate(self.blocks(prints)):
-                for j, value in enumerate(blocks):
-                    tables[j].setdefault(int(value), []).append(i)
+            tables = []
+            for values in self.blocks(prints).T:
+                keys, place = np.unique(values, return_inverse=True)
+                holds = np.zeros((len(keys) + 1, len(items)), bool)  # the last row is for values that no item has
+                holds[place, np.arange(len(items))] = True
+                tables.append((keys, holds))
             self.index[length] = (prints, tables)
 
     def weights(self, found: np.ndarray) -> np.ndarray:
@@ -77,18 +79,14 @@ class Items:
     def near(self, length: int, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, item number, distance) of all within the radius."""
         own, tables = self.index[length]
-        met: dict[int, set[int]] = {}
-        for j, values in enumerate(self.blocks(prints).T):
-            table = tables[j]
-            distinct, place = np.unique(values, return_inverse=True)
-            for v, value in enumerate(distinct):
-                for i in table.get(int(value), ()):
-                    met.setdefault(i, set()).update(np.flatnonzero(place == v).tolist())
-        for i, windows in met.items():
-            at = np.fromiter(windows, np.int64, len(windows))
-            far = np.bitwise_count(prints[at] ^ own[i])
-            for window, distance in zip(at[far <= self.radius], far[far <= self.radius], strict=True):
-                yield int(window), i, int(distance)
+        met = np.zeros((len(prints), len(own)), bool)
+        for values, (keys, holds) in zip(self.blocks(prints).T, tables, strict=True):
+            at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+            met |= holds[np.where(keys[at] == values, at, len(keys))]
+        window, item = np.nonzero(met)
+        far = np.bitwise_count(prints[window] ^ own[item])
+        near = far <= self.radius
+        yield from zip(window[near].tolist(), item[near].tolist(), far[near].tolist(), strict=True)
 
     def similarity(self, item: tuple, window: np.ndarray) -> float:
         """Sum of the smaller over sum of the larger weighted counts of all shingles."""
