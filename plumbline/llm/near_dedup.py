@@ -164,14 +164,18 @@ def linked_in_block(reps: list[int], labels: list[int], sets: list[np.ndarray],
 
 
 def met_in_blocks(rows: DataFrame, sketches: DataFrame, documents: DataFrame, shingle: int, percent: int, limit: int) -> DataFrame:
-    """Links (a, b) between members of one bucket in different components; rows: (key, rep, label, members).
-
-    A bucket is cut into blocks of BLOCK members and every two blocks meet in one
-    group, so no task holds more than two blocks however large the bucket is, and only
-    links leave it, not the pairs that were compared."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Links (a, b) between members of one bucket in different components; rows: (key, rep, label, main, n_main, members).
+
+    The members in the bucket's largest component (main) and the others are cut into
+    blocks of BLOCK members each. A block of others meets every block, one of the main
+    component only those of others. So no task holds more than two blocks however large
+    the bucket is, rows are sent as often as there are blocks of others, and only links
+    leave the task, not the pairs that were compared."""
+    others, mains = F.ceil((F.col("members") - F.col("n_main")) / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
+    cut = rows.withColumn("others", others).withColumn("mains", mains).withColumn("in_main", F.col("label") == F.col("main"))
+    draw = F.xxhash64("rep")
+    cut = cut.withColumn("own", F.when(F.col("in_main"), F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others"))).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(F.col("in_main"), 0).otherwise(F.col("mains")))))
     # Side 0 and 1 are the blocks of smaller and larger number, 2 is a block that meets itself.
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     cut = cut.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "rep", "label")
@@ -225,7 +229,8 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     limit = most_bits(samples, bits, percent / 100 - slack)
 
     buckets = classes.select("rep", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
+    # Written first, so that the join is between two shuffles and a hot bucket's rows can be split.
+    hubs = written(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub"), "bucket-hubs")
     active = written(buckets.join(hubs, "key"), "buckets")
     sketches = classes.select("rep", "sketch")
 
@@ -252,12 +257,14 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
 
     # What is left: buckets whose members are in different components.
     named = active.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed_up = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most").select("key", "members")
-    open_ = written(named.join(mixed_up, "key"), "open")
+    each = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    each = written(each.select("key", F.col("main.label").alias("main"), F.col("main.n").alias("n_main"), "members"), "mixed-buckets")
+    open_ = written(named.join(each, "key"), "open")
     if not open_.isEmpty():
         links = links.unionAll(met_in_blocks(open_, sketches, documents, shingle, percent, limit))
         labels = components(links)
-    for used in (near, best, more, open_, active):
+    for used in (near, best, more, each, open_, active, hubs):
         dropped(used)
 
     least = classes.select("s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
