@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = getattr(shared_folder, "own", None)
         if base is None:
-            base = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+            own = tempfile.mkdtemp(prefix="plumbline-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            base = shared_folder.own = "file://" + own
     return base.rstrip("/")
 
 
