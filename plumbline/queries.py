@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as lex
 from plumbline.functions import text as tx
-from plumbline.operators import calibration, detector, heads, metrics, retrieval, rules, sequence, spans, splits, vectors
+from plumbline.operators import calibration, corpus, detector, heads, metrics, retrieval, rules, sequence, spans, splits, vectors
 from plumbline.operators import features as ft
 from plumbline.plans import verify as vf
 from plumbline.sources.pairs import pairs_of_conversations
@@ -578,3 +578,70 @@ def recall_at_k(spark, sf):
     gold = passages.groupBy("pair_id").agg(F.max_by("passage", F.struct(F.length("text"), -F.col("passage"))).alias("passage"))
     top = retrieval.top_passages(retrieval.bm25(p.select("pair_id", F.col("context").alias("query")), passages, "pair_id"), "pair_id", 5)
     return retrieval.recall(top, gold, "pair_id").select(F.col("k").cast("long"), "n", F.round("recall", 6).alias("recall"))
+
+
+# ---- corpora
+
+
+@query("SELECT lang, count(*)::BIGINT AS n, " + ", ".join(f"round(quantile_cont(length(text)::DOUBLE, {p}), 6) AS \"{n}\"" for n, p in corpus.POINTS.items()) + " FROM documents GROUP BY lang")
+def length_distribution(spark, sf):
+    out = corpus.distribution(table(spark, sf, "documents"), F.length("text"), ["lang"])
+    return out.select("lang", "n", *(F.round(c, 6).alias(c) for c in corpus.POINTS))
+
+
+@query("SELECT m AS mode, count(e.event_id)::BIGINT AS n, round(count(e.event_id) / (SELECT count(*) FROM events), 6) AS share, count(e.event_id) >= 100 AS enough FROM (VALUES ('click'), ('view'), ('purchase'), ('never')) t(m) LEFT JOIN events e ON e.event_type = m GROUP BY m")
+def mode_balance(spark, sf):
+    return corpus.balance(table(spark, sf, "events"), "event_type", ["click", "view", "purchase", "never"], 100).withColumn("share", F.round("share", 6))
+
+
+@query("SELECT page_id, NOT (starts_with(p, '/en/1') OR starts_with(p, '/de/')) AS allowed FROM (SELECT page_id, CASE WHEN regexp_replace(url, '^[a-z]+://[^/]*', '') = '' THEN '/' ELSE regexp_replace(url, '^[a-z]+://[^/]*', '') END AS p FROM pages)")
+def crawl_rules(spark, sf):
+    return table(spark, sf, "pages").select("page_id", corpus.allowed(F.col("url"), ["/en/1", "", "/de/"]).alias("allowed"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'licence' WHEN regexp_matches(text, '[%$&*]{3}') THEN 'symbols' WHEN regexp_matches(text, ' [|] ') THEN 'table' END AS theme FROM documents")
+def themes(spark, sf):
+    rules_ = {"licence": "(?i)licen[cs]e", "symbols": "[%$&*]{3}", "table": " [|] "}
+    return table(spark, sf, "documents").select("doc_id", corpus.first_match(F.col("text"), rules_).alias("theme"))
+
+
+@query(r"""SELECT doc_id, trim(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(173), ''), chr(160), ' '), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n\n+', chr(1), 'g'), chr(10), ' '), chr(1), chr(10) || chr(10)), ' ' || chr(10)) AS text FROM documents""")
+def tidy_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", corpus.tidy(F.col("text")).alias("text"))
+
+
+@query(f"WITH {PAIRS} SELECT pair_id, sha256('demo||512|' || answer || '|' || context) AS key FROM pairs")
+def cache_keys(spark, sf):
+    return pairs(spark, sf).select("pair_id", corpus.cache_key(F.lit("demo"), F.lit(""), 512, F.col("answer"), F.col("context")).alias("key"))
+
+
+@query("SELECT conv_id, ['a', 'b', 'c', 'd', 'e'][1 + ('0x' || substr(sha256('42:' || conv_id), 1, 8))::BIGINT % 5] AS template FROM (SELECT DISTINCT conv_id FROM conversations)")
+def template_choice(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", corpus.choice(list("abcde"), F.concat(F.lit("42:"), F.col("conv_id").cast("string"))).alias("template"))
+
+
+@query("SELECT conv_id, round(avg(length(text)) FILTER (role = 'assistant') - avg(length(text)) FILTER (role = 'user'), 6)::DOUBLE AS difference FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0 AND count(*) FILTER (role = 'user') > 0")
+def paired_lengths(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("chars", F.length("text"))
+    return corpus.paired_difference(rows, "conv_id", "role", "chars", "assistant", "user").withColumn("difference", F.round("difference", 6))
+
+
+@query(f"WITH {PAIRS}, w AS (SELECT pair_id, context, answer, regexp_extract(answer, '[\\p{{L}}]{{2,}}') AS part FROM pairs) SELECT pair_id, CASE WHEN part <> '' AND strpos(context, part) > 0 THEN strpos(context, part) - 1 END::BIGINT AS place, CASE WHEN part <> '' THEN (length(context) - length(replace(context, part, ''))) / length(part) ELSE 0 END::BIGINT AS times FROM w")
+def quoted_words(spark, sf):
+    """Where the answer's first word of two letters or more stands in the context."""
+    rows = pairs(spark, sf).withColumn("part", F.regexp_extract("answer", r"[\p{L}]{2,}", 0))
+    return corpus.quoted_at(rows, "context", "part").select("pair_id", F.col("place").cast("long"), F.col("times").cast("long"))
+
+
+@query("WITH said AS (SELECT pair_id, idx, start, \"end\" FROM tok WHERE idx % 4 = 0), gold AS (SELECT pair_id, start + 1 AS start, \"end\" + 1 AS stop FROM tok WHERE idx % 6 = 0) SELECT count(*)::BIGINT AS n FROM said WHERE EXISTS (SELECT 1 FROM gold WHERE gold.pair_id = said.pair_id AND said.start < gold.stop AND said.\"end\" > gold.start)".replace("WITH said", f"WITH {PAIRS}, {tokens_sql('tok', 'pairs', 'pair_id', 'answer')}, said"))
+def overlapping_spans(spark, sf):
+    toks = tx.tokens(pairs(spark, sf), ["pair_id"], "answer")
+    gold = toks.where("idx % 6 = 0").select("pair_id", (F.col("start") + 1).alias("start"), (F.col("end") + 1).alias("end"))
+    return spans.overlapping(toks.where("idx % 4 = 0"), gold, "pair_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderpriority AS priority, count(*)::BIGINT AS n, " + ", ".join(f"round(quantile_cont(o_totalprice::DOUBLE, {p}), 2) AS \"{n}\"" for n, p in corpus.POINTS.items()) + " FROM orders GROUP BY 1")
+def price_distribution(spark, sf):
+    rows = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "priority")
+    out = corpus.distribution(rows, F.col("o_totalprice"), ["priority"])
+    return out.select("priority", "n", *(F.round(c, 2).alias(c) for c in corpus.POINTS))
