@@ -1,14 +1,10 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by shared shingles of item-sized windows.
 
-Every benchmark item has a 64-bit SimHash of its weighted word shingles, and every
-window of a document that is as long as an item has one too. Fingerprints are cut
-into radius + 1 blocks: two fingerprints within the radius agree on a whole block,
-so looking windows up by block finds every item within the radius. What is found is
-confirmed by the exact weighted similarity of the two shingle multisets.
-
-A window without a shingle of any item has similarity 0 with all of them, so only
-windows around positions whose shingle occurs in the benchmark are fingerprinted;
-that leaves out no window that could be confirmed.
+A document is compared with the items of whose weighted word shingles it holds enough
+for the wanted similarity, and there the windows as long as the item that hold enough
+of them. Both bounds are exact, so no window is lost. What is left is confirmed by
+the exact weighted similarity of the two shingle multisets; the distance of their
+64-bit SimHashes is reported with it.
 
 Items go to the executors in blocks of `item_block`, one pass of the documents for
 each, so what a task holds is bounded however large the benchmark is.
@@ -40,112 +36,80 @@ def packed(sums: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: their shingles with weights, and fingerprints by length.
-
-    A shingle's weight falls with the number of items of the block's benchmark that hold it."""
+    """A block of benchmark items: their shingles with weights, and the items of each shingle."""
 
-    def __init__(self, rows: list[tuple[int, str]], weight: dict[int, float], shingle: int, radius: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], weight: Weights, shingle: int) -> None:
         hashes = WordHashes()
-        self.shingle, self.radius, self.weight = shingle, radius, weight
-        self.vocabulary = np.array([], U64)
-        self.by_length: dict[int, list] = {}
-        known = []
+        self.shingle, self.weights = shingle, weight.of
+        self.items: list[tuple[int, int, np.ndarray]] = []
         for item, text in rows:
             words = words_of(text)
-            found = shingles(hashes.of(words), shingle)
-            known.append(found)
-            self.by_length.setdefault(len(words), []).append((item, found, self.weights(found)))
-        if known:
-            self.vocabulary = np.unique(np.concatenate(known))
-        self.edges = np.linspace(0, BITS, radius + 2).astype(int)
-        self.index: dict[int, tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
-        for length, items in self.by_length.items():
-            prints = np.concatenate([packed(planes(f, w).sum(axis=0, keepdims=True)) for _, f, w in items])
-            tables = []
-            for values in self.blocks(prints).T:
-                keys, place = np.unique(values, return_inverse=True)
-                holds = np.zeros((len(keys) + 1, len(items)), bool)  # the last row is for values that no item has
-                holds[place, np.arange(len(items))] = True
-                tables.append((keys, holds))
-            self.index[length] = (prints, tables)
-
-    def weights(self, found: np.ndarray) -> np.ndarray:
-        return np.array([self.weight.get(int(x), 1.0) for x in found])
-
-    def blocks(self, prints: np.ndarray) -> np.ndarray:
-        out = [(prints >> U64(lo)) & U64((1 << (hi - lo)) - 1) for lo, hi in zip(self.edges, self.edges[1:], strict=False)]
-        return np.stack(out, axis=1)
-
-    def near(self, length: int, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, item number, distance) of all within the radius."""
-        own, tables = self.index[length]
-        met = np.zeros((len(prints), len(own)), bool)
-        for values, (keys, holds) in zip(self.blocks(prints).T, tables, strict=True):
-            at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-            met |= holds[np.where(keys[at] == values, at, len(keys))]
-        window, item = np.nonzero(met)
-        far = np.bitwise_count(prints[window] ^ own[item])
-        near = far <= self.radius
-        yield from zip(window[near].tolist(), item[near].tolist(), far[near].tolist(), strict=True)
-
-    def similarity(self, item: tuple, window: np.ndarray) -> float:
+            self.items.append((item, len(words), shingles(hashes.of(words), shingle)))
+        own = [np.unique(f, return_counts=True) for _, _, f in self.items]
+        self.whole = np.array([float(self.weights(f).sum()) for _, _, f in self.items])
+        keys = np.concatenate([u for u, _ in own]) if own else np.array([], U64)
+        self.vocabulary, place = np.unique(keys, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        self.holder = np.repeat(np.arange(len(own)), [len(u) for u, _ in own])[order]
+        self.times = (np.concatenate([n for _, n in own]) if own else np.array([], int))[order]
+        self.first = np.searchsorted(place[order], np.arange(len(self.vocabulary) + 1))
+
+    def similarity(self, item: np.ndarray, window: np.ndarray) -> float:
         """Sum of the smaller over sum of the larger weighted counts of all shingles."""
-        _, found, _ = item
-        keys, place = np.unique(np.concatenate([found, window]), return_inverse=True)
-        a = np.bincount(place[: len(found)], minlength=len(keys))
-        b = np.bincount(place[len(found) :], minlength=len(keys))
+        keys, place = np.unique(np.concatenate([item, window]), return_inverse=True)
+        a = np.bincount(place[: len(item)], minlength=len(keys))
+        b = np.bincount(place[len(item) :], minlength=len(keys))
         w = self.weights(keys)
         return float((np.minimum(a, b) * w).sum() / (np.maximum(a, b) * w).sum())
 
+    def candidates(self, found: np.ndarray, least: float) -> np.ndarray:
+        """Numbers of the items of which a document holds enough weight for a window to reach least."""
+        place = np.minimum(np.searchsorted(self.vocabulary, found), len(self.vocabulary) - 1)
+        place = place[self.vocabulary[place] == found]
+        if not len(place):
+            return place
+        met, counts = np.unique(place, return_counts=True)
+        sizes = self.first[met + 1] - self.first[met]
+        at = np.repeat(self.first[met] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        both = np.minimum(self.times[at], np.repeat(counts, sizes)) * np.repeat(self.weights(self.vocabulary[met]), sizes)
+        held = np.bincount(self.holder[at], both, len(self.items))
+        return np.flatnonzero((held > 0) & (held >= least * self.whole - 1e-6))
+
     def leaks(self, hashed: np.ndarray, least: float) -> list[tuple[int, int, int, int, float]]:
         """(item, start, words, distance, similarity): for every item its best window in a document, if it reaches least."""
-        k = self.shingle
-        if len(hashed) < k or not len(self.vocabulary):
-            return []
-        found = shingles(hashed, k)
-        place = np.searchsorted(self.vocabulary, found)
-        hits = np.flatnonzero(self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] == found)
-        if not len(hits):
+        if len(hashed) < self.shingle or not len(self.vocabulary):
             return []
+        found = shingles(hashed, self.shingle)
         out: dict[int, tuple] = {}
-        longest = max(self.by_length)
-        breaks = np.flatnonzero(np.diff(hits) > longest) + 1
-        for run in np.split(hits, breaks):
-            lo, hi = max(0, int(run[0]) - longest), min(len(hashed), int(run[-1]) + k + longest)
-            part = found[lo : max(lo, hi - k + 1)]
-            inside = np.concatenate([[0], np.cumsum(np.isin(np.arange(lo, lo + len(part)), run))])
-            # A chunk of positions at a time bounds memory; chunks overlap by the longest window.
-            for c in range(0, len(part), 4096):
-                piece = part[c : c + 4096 + longest]
-                sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(planes(piece, self.weights(piece)), axis=0, dtype=np.float64)])
-                held = inside[c : c + len(piece) + 1]
-                for length, items in self.by_length.items():
-                    n = length - k + 1
-                    if n > len(piece):
-                        continue
-                    starts = np.flatnonzero(held[n:] - held[:-n] > 0)
-                    starts = starts[starts < 4096]
-                    if not len(starts):
-                        continue
-                    prints = packed(sums[starts + n] - sums[starts])
-                    for window, i, distance in self.near(length, prints):
-                        s = int(starts[window])
-                        likeness = self.similarity(items[i], piece[s : s + n])
-                        if likeness >= least:
-                            row = (-likeness, lo + c + s, length, distance)
-                            item = items[i][0]
-                            out[item] = min(out.get(item, row), row)
+        for i in self.candidates(found, least).tolist():
+            item, length, own = self.items[i]
+            n = len(own)
+            if n > len(found):
+                continue
+            # A window can't share more than the weight of those of its shingles that the item has.
+            shared = np.where(np.isin(found, own), self.weights(found), 0.0)
+            sums = np.concatenate([[0.0], np.cumsum(shared)])
+            best = None
+            for s in np.flatnonzero(sums[n:] - sums[:-n] >= least * self.whole[i] - 1e-6).tolist():
+                likeness = self.similarity(own, found[s : s + n])
+                if likeness >= least and (best is None or likeness > best[0]):
+                    best = (likeness, s)
+            if best is not None:
+                likeness, s = best
+                window = found[s : s + n]
+                prints = [packed(planes(f, self.weights(f)).sum(axis=0, keepdims=True))[0] for f in (own, window)]
+                row = (-likeness, s, min(length, len(hashed)), int(np.bitwise_count(prints[0] ^ prints[1])))
+                out[item] = min(out.get(item, row), row)
         return [(item, start, length, distance, -likeness) for item, (likeness, start, length, distance) in out.items()]
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 15, item_block: int = 20_000) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity: float = 0.8, item_block: int = 20_000) -> DataFrame:
     """LEAKS: for each document and benchmark item found in it, the best window.
 
     documents (doc_id, text) and benchmark (item_id, text); words are lower-cased (A-Z).
     The similarity is that of the multisets of `shingle`-word shingles, weighted by
-    1 + ln(items / items that hold the shingle). At similarity 0.8 the distance of two
-    fingerprints is 9.7 bits on average with a deviation of 2.9, so radius 15 finds
-    nearly all, and all exact copies, whose distance is 0.
+    1 + ln(items / items that hold the shingle). All windows that reach it are found;
+    hamming is the distance of the two 64-bit SimHashes.
 
     Null, empty or too short documents hold no leak; items of fewer than `shingle`
     words (or null) can't be told from chance and are left out. Rows with a null id are
@@ -178,12 +142,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, shingle: int = 5, simil
         block = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()]
         # Weights of this block's shingles only; shared ones are few beside those of one item, whose weight is `alone`.
         own = part.select("text").mapInArrow(of_items, "h long").distinct()
-        weight = {r["h"] & 0xFFFFFFFFFFFFFFFF: r["weight"] for r in weights.join(own, "h").collect()}
-        sent = spark.sparkContext.broadcast((block, weight))
+        shared = weights.join(own, "h").collect()
+        sent = spark.sparkContext.broadcast((block, np.array([r["h"] for r in shared], np.int64).view(U64), np.array([r["weight"] for r in shared], float)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            texts, shared = sent.value
-            index = Items(texts, Weights(alone, shared), shingle, radius)
+            texts, keys, values = sent.value
+            index = Items(texts, Weights(alone, keys, values), shingle)
             hashes = WordHashes()
             for batch in batches:
                 rows = [(d.as_py(), *leak) for d, t in zip(*batch.columns, strict=True) for leak in index.leaks(hashes.of(words_of(t.as_py())), similarity)]
@@ -195,15 +159,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, shingle: int = 5, simil
     return out
 
 
-class Weights(dict):
+class Weights:
     """Shingle weights; a shingle of one item, or of none, has the largest."""
 
-    def __init__(self, alone: float, shared: dict[int, float]) -> None:
-        super().__init__(shared)
-        self.alone = alone
+    def __init__(self, alone: float, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.alone, self.keys, self.values = alone, keys[order], values[order]
 
-    def get(self, key: int, default: float | None = None) -> float:
-        return super().get(key, self.alone)
+    def of(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(found), self.alone)
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        return np.where(self.keys[at] == found, self.values[at], self.alone)
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

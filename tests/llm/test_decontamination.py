@@ -72,3 +72,17 @@ def test_long_documents_and_filter(spark):
     left = without_leaks(docs, benchmark)
     assert left.columns == docs.columns and sorted(r["item_id"] for r in left.collect()) == [6, 7, 8]
     assert leaks(docs.limit(0), benchmark).collect() == [] and leaks(docs, benchmark.limit(0)).collect() == []
+
+
+def test_all_windows_at_the_similarity_are_found(spark):
+    """Inner words changed, where fingerprints differ by many bits."""
+    rng = random.Random(3)
+    items = [(i, [f"q{rng.randrange(10**9)}" for _ in range(59)]) for i in range(300)]
+    docs = []
+    for i, words in items:
+        words = list(words)
+        words[rng.randrange(10, 49)] = "changed"
+        docs.append((i, " ".join(["pad"] * 9 + words + ["tail"] * 9)))
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["start_word"]) for r in got) == [(i, i, 9) for i in range(300)]
+    assert max(r["hamming"] for r in got) > 15
