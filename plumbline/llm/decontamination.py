@@ -84,8 +84,8 @@ class Items:
         for i in self.candidates(found, least).tolist():
             item, length, own = self.items[i]
             n = len(own)
-            if n > len(found):
-                continue
+            # A document shorter than the item is one window itself.
+            n = min(n, len(found))
             # A window can't share more than the weight of those of its shingles that the item has.
             shared = np.where(np.isin(found, own), self.weights(found), 0.0)
             sums = np.concatenate([[0.0], np.cumsum(shared)])
@@ -111,7 +111,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, shingle: int = 5, simil
     1 + ln(items / items that hold the shingle). All windows that reach it are found;
     hamming is the distance of the two 64-bit SimHashes.
 
-    Null, empty or too short documents hold no leak; items of fewer than `shingle`
+    A document shorter than an item is compared with it as a whole. Null and empty
+    documents and those of fewer than `shingle` words hold no leak; items of fewer than `shingle`
     words (or null) can't be told from chance and are left out. Rows with a null id are
     reported with it. Equal windows: the first. Repeated documents give a row each, a
     repeated item_id one row for its best text. Empty tables give no rows; other

@@ -86,3 +86,11 @@ def test_all_windows_at_the_similarity_are_found(spark):
     got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["start_word"]) for r in got) == [(i, i, 9) for i in range(300)]
     assert max(r["hamming"] for r in got) > 15
+
+
+def test_document_that_is_a_cut_item(spark):
+    words = [f"q{i}" for i in range(59)]
+    docs = [(n, " ".join(words[:n])) for n in (4, 30, 47, 48, 57, 58, 59)] + [(100, " ".join(words[2:])), (101, " ".join(words[:58] + ["other"]))]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["start_word"], r["n_words"], round(r["similarity"], 4)) for r in got} == {
+        48: (0, 48, 0.8), 57: (0, 57, round(53 / 55, 4)), 58: (0, 58, round(54 / 55, 4)), 59: (0, 59, 1.0), 100: (0, 57, round(53 / 55, 4)), 101: (0, 59, round(54 / 56, 4))}
