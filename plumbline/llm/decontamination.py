@@ -7,7 +7,8 @@ the exact weighted similarity of the two shingle multisets; the distance of thei
 64-bit SimHashes is reported with it.
 
 Items go to the executors in blocks of `item_block`, one pass of the documents for
-each, so what a task holds is bounded however large the benchmark is.
+each. A task holds one block and, for all of them, 16 bytes a shingle that several
+items share, so that blocks don't change the weights.
 """
 
 from __future__ import annotations
@@ -136,19 +137,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, shingle: int = 5, simil
     alone = 1 + float(np.log(max(total, 1)))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    # Every block needs the weights of all shared shingles: a window may hold shingles of items of other blocks.
+    shared = weights.select("h", "weight").toArrow()
+    common = spark.sparkContext.broadcast((shared.column("h").to_numpy().view(U64), shared.column("weight").to_numpy()))
+
     blocks = max(1, -(-total // item_block))
     out = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == k)
         block = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()]
-        # Weights of this block's shingles only; shared ones are few beside those of one item, whose weight is `alone`.
-        own = part.select("text").mapInArrow(of_items, "h long").distinct()
-        shared = weights.join(own, "h").collect()
-        sent = spark.sparkContext.broadcast((block, np.array([r["h"] for r in shared], np.int64).view(U64), np.array([r["weight"] for r in shared], float)))
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            texts, keys, values = sent.value
-            index = Items(texts, Weights(alone, keys, values), shingle)
+            index = Items(sent.value, Weights(alone, *common.value), shingle)
             hashes = WordHashes()
             for batch in batches:
                 rows = [(d.as_py(), *leak) for d, t in zip(*batch.columns, strict=True) for leak in index.leaks(hashes.of(words_of(t.as_py())), similarity)]

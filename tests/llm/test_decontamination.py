@@ -94,3 +94,17 @@ def test_document_that_is_a_cut_item(spark):
     got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
     assert {r["doc_id"]: (r["start_word"], r["n_words"], round(r["similarity"], 4)) for r in got} == {
         48: (0, 48, 0.8), 57: (0, 57, round(53 / 55, 4)), 58: (0, 58, round(54 / 55, 4)), 59: (0, 59, 1.0), 100: (0, 57, round(53 / 55, 4)), 101: (0, 59, round(54 / 56, 4))}
+
+
+def test_blocks_weigh_the_shingles_of_other_blocks(spark):
+    """Windows that hold shingles shared by items of other blocks, near the similarity."""
+    rng = random.Random(6)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    common = text(9)
+    items = [(i, text(79)) for i in range(30)] + [(i, text(20) + common) for i in range(30, 36)]
+    docs = [(i, " ".join(words[:70] + common)) for i, words in items[:30]]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    key = lambda rows: sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in rows)
+    assert key(leaks(d, b).collect()) == key(leaks(d, b, item_block=4).collect())
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(d, b, item_block=4).collect()} == set(brute(docs, [(i, " ".join(w)) for i, w in items]))
