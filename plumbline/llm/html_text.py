@@ -21,10 +21,12 @@ from plumbline.llm.common import small_batches
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
 #: Elements that show no text of their own content.
-UNSEEN = set("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea title meta link".split())
+UNSEEN = set("head script style template noscript iframe noembed noframes object audio video canvas datalist select textarea title meta link".split())
+#: Elements of svg and math that browsers don't draw where they stand.
+UNDRAWN = set("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 #: Elements with a blank line around them, and elements that only start a new line.
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
-LINED = set("address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr thead tbody tfoot td th option optgroup".split())
+LINED = set("address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr thead tbody tfoot td th option optgroup text".split())
 BLOCKS = SPACED | LINED
 #: A start tag closes open elements of these names, looking no further up than the names in the third place.
 CLOSES = {
@@ -40,12 +42,14 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, set()),
 }
-CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "option", "optgroup", "caption"}
+CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "option", "optgroup", "caption", "text"}
 #: An open p is looked for no further up than these.
 P_SCOPE = {"td", "th", "table", "caption", "button", "html", "body"}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])(?!\s*=\s*[\"']?until-found)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+MAY_HIDE = re.compile(r"hidden|style", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
 SPAN = re.compile(r"(col|row)span\s*=\s*[\"']?\s*(\d{1,4})", re.I)
 FIRST = re.compile(r"(?:^|\s)start\s*=\s*[\"']?\s*(-?\d{1,9})", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f\v]+")
@@ -57,10 +61,10 @@ CELL_WIDTH, TABLE_DEPTH = 40, 8
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "drawn")
 
-    def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: str = "", drawn: bool = True) -> None:
+        self.tag, self.attributes, self.children, self.drawn = tag, attributes, [], drawn
 
 
 def tree(source: str) -> Node:
@@ -106,7 +110,7 @@ def tree(source: str) -> Node:
             continue
         tag, attributes = m[2].lower(), m[3]
         if m[1]:
-            inline = tag not in BLOCKS and tag not in UNSEEN
+            inline = tag not in BLOCKS and tag not in UNSEEN and tag not in ("svg", "math")
             for i in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[i].tag == tag:
                     cut(i)
@@ -126,9 +130,10 @@ def tree(source: str) -> Node:
             row = Node("tr")
             stack[-1].children.append(row)
             push(row)
-        node = Node(tag, attributes)
+        foreign = open_.get("svg") or open_.get("math")
+        node = Node(tag, attributes, not (foreign and tag in UNDRAWN))
         stack[-1].children.append(node)
-        if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or attributes.endswith("/") and (foreign or tag in ("svg", "math", "path")):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -139,8 +144,20 @@ def tree(source: str) -> Node:
     return root
 
 
+def hides(attributes: str) -> bool:
+    """Whether the attributes named hidden or style keep an element from being shown; of two of a name, the first counts."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    values: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        values.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    if "hidden" in values and values["hidden"].strip().lower() != "until-found":
+        return True
+    return bool(HIDING.search(values.get("style", "")))
+
+
 def seen(node: Node) -> bool:
-    return node.tag not in UNSEEN and not (node.attributes and HIDDEN.search(node.attributes))
+    return node.drawn and node.tag not in UNSEEN and not (node.attributes and hides(node.attributes))
 
 
 class Page:

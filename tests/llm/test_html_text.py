@@ -80,3 +80,14 @@ def test_query(spark):
     got = [(r["page_id"], r["url"], r["text"], r["n_lines"]) for r in extracted(pages).collect()]
     assert sorted(got, key=str) == sorted([(1, "u", "a\n\nb", 3), (2, None, "", 0), (None, "u", "", 0), (1, "u", "a\n\nb", 3)], key=str)
     assert extracted(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p class=\"nav hidden md:block\">a<p title='the hidden cost of war'>b<p data-style=\"display:none\">c<p data-hidden>d", "a\n\nb\n\nc\n\nd"),
+    ("<a href=\"x?style=display:none\">e</a><i title='style=\"display:none\"'>f</i>", "ef"),
+    ("<p class=x hidden>no<p HIDDEN=''>no<p hidden=until-found>yes<p class='a' style='color:red; DISPLAY : none !important'>no<p style=visibility:hidden>no<p style='x-display:none'>too", "yes\n\ntoo"),
+    ("E <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> F", "E x=2 F"),
+    ("<p>see <svg><title>no</title><defs><text>no</text></defs><circle r=1 /><text>one</text><text>two</text></svg> end", "see\none\ntwo\nend"),
+])
+def test_only_attributes_of_their_own_hide(source, want):
+    assert visible_text(source) == want
