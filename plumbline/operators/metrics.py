@@ -149,7 +149,7 @@ def gate(metrics: DataFrame, least_f1: float, most_fpr: float, name: str = "gate
     return metrics.withColumn(name, F.when(missing, "not measured").when((F.col("f1") >= least_f1) & (F.col("fpr") <= most_fpr), "reached").otherwise("not reached"))
 
 
-def bootstrap_auc(rows: DataFrame, score: str, label: str, key: str, replicates: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap_auc(rows: DataFrame, score: str, label: str, key: str, replicates: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """(replicates, low, high): percentile interval of the AUC over resamples of clusters.
 
     Every cluster gets a Poisson(1) weight per replicate from a hash of seed, replicate and

@@ -135,3 +135,8 @@ def test_stream_of_pairs(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text('{"pair_id": "1", "context": "alpha beta gamma", "answer": "alpha beta"}\n')
     verify_stream(pair_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["verdict"] == "grounded"
+
+
+def test_bootstrap_runs_the_replicates_of_the_reference(spark):
+    rows = spark.createDataFrame([(i / 40, int(i * 7 % 40 > 22), f"c{i}") for i in range(40)], "score double, label int, key string")
+    assert metrics.bootstrap_auc(rows, "score", "label", "key").collect()[0]["replicates"] == 5000
