@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -27,9 +29,11 @@ _P = U64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or (only where unset, as in tests) a local one."""
+    """The folder that all executors see: spark.checkpoint.dir, or (only where unset, in local mode) a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(shared_folder, "own", None)
         if base is None:
             own = tempfile.mkdtemp(prefix="plumbline-")
@@ -57,19 +61,51 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit BROADCAST_BYTES, else df itself (a shuffle join).
+def sized(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """df with a broadcast hint if its rows fit BROADCAST_BYTES, else df itself (a shuffle join).
 
-    df should be cheap to count, as a written table is."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    row_bytes is the width of a row, an expression where rows hold arrays or texts. df
+    should be cheap to read, as a written table is."""
+    width = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    taken = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= BROADCAST_BYTES else df
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int, size: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for what runs within; the caller's settings come back."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n, None) for n in names]
+    for n, value in zip(names, (rows, size), strict=True):
+        spark.conf.set(n, str(value))
+    try:
+        yield
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, so that batches of long texts fit a Python worker."""
+    """Arrow batches of few rows, so that batches of long texts fit a Python worker.
+
+    Results are read lazily, so the setting stays; it is the engine's own for all its plans."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def fresh(*tables: DataFrame | list[str]) -> Callable[[str], str]:
+    """Names that no column of the tables has, whatever the case of their letters."""
+    taken = {c.lower() for t in tables for c in (t if isinstance(t, list) else t.columns)}
+
+    def name(wish: str) -> str:
+        while wish.lower() in taken:
+            wish += "_"
+        taken.add(wish.lower())
+        return wish
+
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -82,8 +118,7 @@ def split_words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words, as long; 0 for null."""
-    parts = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), GAP, " ")), " ")
-    return F.when(F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.size(parts)).otherwise(0).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 class WordHashes(dict):
