@@ -50,14 +50,15 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\
 MAY_HIDE = re.compile(r"hidden|style", re.I)
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
-SPAN = re.compile(r"(col|row)span\s*=\s*[\"']?\s*(\d{1,4})", re.I)
-FIRST = re.compile(r"(?:^|\s)start\s*=\s*[\"']?\s*(-?\d{1,9})", re.I)
+NUMBER = re.compile(r"\s*(-?\d{1,9})")
 BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
 #: Elements nested deeper become siblings, as in browsers.
 DEPTH = 512
-#: Cells are padded to their column up to this width; tables in cells are drawn as tables up to this depth.
-CELL_WIDTH, TABLE_DEPTH = 40, 8
+#: Lines of cells are wrapped between words beyond this width; tables in cells are drawn as tables up to this depth.
+CELL_WIDTH, TABLE_DEPTH = 100, 64
+#: The most columns and rows that a cell can span, as in browsers.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
@@ -144,13 +145,25 @@ def tree(source: str) -> Node:
     return root
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """Values by lower-case name; of two of a name, the first counts."""
+    values: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        values.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return values
+
+
+def number(node: Node, name: str, other: int) -> int:
+    """An attribute's leading number."""
+    m = NUMBER.match(attributes_of(node.attributes).get(name, "")) if name in node.attributes.lower() else None
+    return int(m[1]) if m else other
+
+
 def hides(attributes: str) -> bool:
-    """Whether the attributes named hidden or style keep an element from being shown; of two of a name, the first counts."""
+    """Whether the attributes named hidden or style keep an element from being shown."""
     if not MAY_HIDE.search(attributes):
         return False
-    values: dict[str, str] = {}
-    for m in ATTRIBUTE.finditer(attributes):
-        values.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    values = attributes_of(attributes)
     if "hidden" in values and values["hidden"].strip().lower() != "until-found":
         return True
     return bool(HIDING.search(values.get("style", "")))
@@ -218,6 +231,22 @@ class Page:
         return "\n".join(self.lines)
 
 
+def wrapped(lines: list[str]) -> list[str]:
+    """Lines cut at blanks where they are longer than CELL_WIDTH; a longer word is a line of its own."""
+    out = []
+    for line in lines:
+        while len(line) > CELL_WIDTH:
+            cut = line.rfind(" ", 1, CELL_WIDTH + 1)
+            if cut < 0 or not line[:cut].strip():
+                cut = line.find(" ", CELL_WIDTH)
+            if cut < 0:
+                break
+            out.append(line[:cut].rstrip(" "))
+            line = line[cut + 1 :]
+        out.append(line)
+    return out
+
+
 def drawn(table: Node, depth: int) -> list[str]:
     """A table as lines: cells of a row side by side, columns aligned."""
     rows: list[list[list[str]]] = []
@@ -252,13 +281,12 @@ def drawn(table: Node, depth: int) -> list[str]:
             if not seen(cell):
                 continue
             skip()
-            spans = {k.lower(): max(1, int(v)) for k, v in SPAN.findall(cell.attributes)}
             text = rendered(cell.children, depth)
-            wide = min(spans.get("col", 1), 100)
-            for i in range(wide):
-                if spans.get("row", 1) > 1:
-                    held[len(cells)] = spans["row"] - 1
-                cells.append(text.split("\n") if text and not i else [])
+            tall = min(max(1, number(cell, "rowspan", 1)), MOST_ROWS)
+            for i in range(min(max(1, number(cell, "colspan", 1)), MOST_COLUMNS)):
+                if tall > 1:
+                    held[len(cells)] = tall - 1
+                cells.append(wrapped(text.split("\n")) if text and not i else [])
         skip()
         text = rendered(loose, depth)
         captions += text.split("\n") if text else []
@@ -267,7 +295,7 @@ def drawn(table: Node, depth: int) -> list[str]:
     width: dict[int, int] = {}
     for cells in rows:
         for i, lines in enumerate(cells):
-            width[i] = max([width.get(i, 0), *(min(len(x), CELL_WIDTH) for x in lines)])
+            width[i] = max([width.get(i, 0), *(len(x) if len(x) <= CELL_WIDTH else 1 for x in lines)])
     out = captions
     for cells in rows:
         for k in range(max(map(len, cells))):
@@ -328,8 +356,7 @@ def rendered(nodes: list, depth: int = 0) -> str:
             continue
         inner = numbers
         if tag in ("ul", "menu", "dir", "ol"):
-            first = FIRST.search(node.attributes)
-            inner = [tag == "ol", int(first[1]) if first else 1]
+            inner = [tag == "ol", number(node, "start", 1)]
             page.indent.append("")
         elif tag == "li":
             mark = "- "
@@ -362,8 +389,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     Null and empty pages give an empty text of no lines; plain text without tags is all
     visible. Null ids and urls stay; repeated rows are rows of their own; an empty table
-    gives none; other columns are not read. A page is read whole; a cell is padded to at
-    most 40 characters, so a long cell doesn't widen its column beyond that."""
+    gives none; other columns are not read. A page is read whole. Columns are
+    aligned; a cell's lines are wrapped between words beyond 100 characters, and only a
+    row with a longer word (as of an address) stands out of line, so that one word can't
+    multiply a table's size."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,3 +91,24 @@ def test_query(spark):
 ])
 def test_only_attributes_of_their_own_hide(source, want):
     assert visible_text(source) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.lists(st.text("abcdefghij", min_size=1, max_size=20), min_size=1, max_size=30), min_size=3, max_size=3), min_size=1, max_size=5))
+def test_cells_of_tables_are_aligned(rows):
+    """Columns start at one place in every line, and each cell's words stand in its column in order."""
+    source = "<table>" + "".join("<tr>" + "".join(f"<td data-colspan=3>{' '.join(cell)}" for cell in row) for row in rows) + "</table>"
+    lines = visible_text(source).split("\n")
+    bars = sorted({m.start() for line in lines for m in re.finditer(r"(?<= )\|(?= |$)", line)})
+    assert len(bars) == 2
+    columns = [[line[: bars[0]], line[bars[0] + 1 : bars[1]], line[bars[1] + 1 :]] for line in lines]
+    for i in range(3):
+        assert [w for line in columns for w in line[i].split()] == [w for row in rows for w in row[i]]
+
+
+def test_wide_cells():
+    long, address = " ".join(["word"] * 60), "http://" + "a" * 300
+    text = visible_text(f"<table><tr><td>{long}<td>x<tr><td>{address}<td>y<tr><td colspan=1001>z<td rowspan='2'>r</table>")
+    assert text.split().count("word") == 60 and address in text
+    assert [line.index("|") for line in text.split("\n") if " | x" in line or (" | " in line and "http" not in line)] == [100] * 2
+    assert visible_text("<table><tr><td>" * 40 + "in" + "</table>" * 40) == "in"
