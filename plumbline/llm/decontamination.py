@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, WordHashes, mixed, shingles, sized, small_batches, words_of, written
+from plumbline.llm.common import U64, WORD, WordHashes, fresh, shingles, sized, small_batches, words_of, written
 
+#: What the order of a sum of doubles may change: similarities nearer to the threshold than this reach it.
+TIE = 1e-9
 LEAKS = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
 BITS = 64
 
@@ -36,16 +38,25 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 1e-3, axis=1).view(U64).ravel()
 
 
+#: Bits of a shingle's hash that the quick test of a block looks at.
+QUICK = 20
+
+
 class Items:
-    """A block of benchmark items: their shingles with weights, and the items of each shingle."""
+    """A block of benchmark items: their shingles with weights, and the items of each shingle.
+
+    An item of fewer words than a shingle has its whole sequence as its one shingle."""
 
     def __init__(self, rows: list[tuple[int, str]], weight: Weights, shingle: int) -> None:
         hashes = WordHashes()
-        self.shingle, self.weights = shingle, weight.of
+        self.weights = weight.of
         self.items: list[tuple[int, int, np.ndarray]] = []
         for item, text in rows:
             words = words_of(text)
-            self.items.append((item, len(words), shingles(hashes.of(words), shingle)))
+            if words:
+                self.items.append((item, len(words), shingles(hashes.of(words), shingle)))
+        #: Words of a shingle -> whether any item has that; a document is cut into each of these.
+        self.sizes = sorted({min(length, shingle) for _, length, _ in self.items})
         own = [np.unique(f, return_counts=True) for _, _, f in self.items]
         self.whole = np.array([float(self.weights(f).sum()) for _, _, f in self.items])
         keys = np.concatenate([u for u, _ in own]) if own else np.array([], U64)
@@ -54,6 +65,8 @@ class Items:
         self.holder = np.repeat(np.arange(len(own)), [len(u) for u, _ in own])[order]
         self.times = (np.concatenate([n for _, n in own]) if own else np.array([], int))[order]
         self.first = np.searchsorted(place[order], np.arange(len(self.vocabulary) + 1))
+        self.quick = np.zeros(1 << QUICK, bool)
+        self.quick[self.vocabulary >> U64(64 - QUICK)] = True
 
     def similarity(self, item: np.ndarray, window: np.ndarray) -> float:
         """Sum of the smaller over sum of the larger weighted counts of all shingles."""
@@ -65,6 +78,9 @@ class Items:
 
     def candidates(self, found: np.ndarray, least: float) -> np.ndarray:
         """Numbers of the items of which a document holds enough weight for a window to reach least."""
+        found = found[self.quick[found >> U64(64 - QUICK)]]
+        if not len(found):
+            return found
         place = np.minimum(np.searchsorted(self.vocabulary, found), len(self.vocabulary) - 1)
         place = place[self.vocabulary[place] == found]
         if not len(place):
@@ -78,30 +94,41 @@ class Items:
 
     def leaks(self, hashed: np.ndarray, least: float) -> list[tuple[int, int, int, int, float]]:
         """(item, start, words, distance, similarity): for every item its best window in a document, if it reaches least."""
-        if len(hashed) < self.shingle or not len(self.vocabulary):
-            return []
-        found = shingles(hashed, self.shingle)
         out: dict[int, tuple] = {}
+        for size in self.sizes:
+            if len(hashed) >= size:
+                self.met(shingles(hashed, size), size, len(hashed), least, out)
+        return [(item, start, length, distance, -likeness) for item, (likeness, start, length, distance) in out.items()]
+
+    def met(self, found: np.ndarray, size: int, n_words: int, least: float, out: dict[int, tuple]) -> None:
+        """Put into out the best window for each item whose shingles have `size` words."""
         for i in self.candidates(found, least).tolist():
             item, length, own = self.items[i]
-            n = len(own)
+            if min(length, size) != size or (length < size):
+                continue
             # A document shorter than the item is one window itself.
-            n = min(n, len(found))
+            n = min(len(own), len(found))
             # A window can't share more than the weight of those of its shingles that the item has.
-            shared = np.where(np.isin(found, own), self.weights(found), 0.0)
+            weighed = self.weights(found)
+            shared = np.where(np.isin(found, own), weighed, 0.0)
             sums = np.concatenate([[0.0], np.cumsum(shared)])
+            all_ = np.concatenate([[0.0], np.cumsum(weighed)])
+            held = sums[n:] - sums[:-n]
+            # Nor can it be more like the item than that over all weight of both that isn't shared.
+            bound = held / np.maximum(self.whole[i] + all_[n:] - all_[:-n] - held, 1e-12)
+            starts = np.flatnonzero(bound >= least - 1e-6)
             best = None
-            for s in np.flatnonzero(sums[n:] - sums[:-n] >= least * self.whole[i] - 1e-6).tolist():
+            for s in starts[np.argsort(-bound[starts], kind="stable")].tolist():
+                if best is not None and bound[s] < -best[0] - 1e-6:
+                    break
                 likeness = self.similarity(own, found[s : s + n])
-                if likeness >= least and (best is None or likeness > best[0]):
-                    best = (likeness, s)
+                if likeness >= least - TIE:
+                    best = min(best or (0.0, 0), (-round(likeness, 12), s))
             if best is not None:
                 likeness, s = best
-                window = found[s : s + n]
-                prints = [packed(planes(f, self.weights(f)).sum(axis=0, keepdims=True))[0] for f in (own, window)]
-                row = (-likeness, s, min(length, len(hashed)), int(np.bitwise_count(prints[0] ^ prints[1])))
+                prints = [packed(planes(f, self.weights(f)).sum(axis=0, keepdims=True))[0] for f in (own, found[s : s + n])]
+                row = (likeness, s, min(length, n_words), int(np.bitwise_count(prints[0] ^ prints[1])))
                 out[item] = min(out.get(item, row), row)
-        return [(item, start, length, distance, -likeness) for item, (likeness, start, length, distance) in out.items()]
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity: float = 0.8, item_block: int = 20_000) -> DataFrame:
@@ -112,16 +139,17 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, shingle: int = 5, simil
     1 + ln(items / items that hold the shingle). All windows that reach it are found;
     hamming is the distance of the two 64-bit SimHashes.
 
-    A document shorter than an item is compared with it as a whole. Null and empty
-    documents and those of fewer than `shingle` words hold no leak; items of fewer than `shingle`
-    words (or null) can't be told from chance and are left out. Rows with a null id are
-    reported with it. Equal windows: the first. Repeated documents give a row each, a
+    A document shorter than an item is compared with it as a whole. An item of fewer than
+    `shingle` words has its whole sequence as its one shingle, so it is found where it
+    stands word for word. Null, empty and blank documents and items match nothing. Rows
+    with a null id are reported with it. A similarity at the threshold reaches it,
+    whatever the order of the sums. Equal windows: the first. Repeated documents give a row each, a
     repeated item_id one row for its best text. Empty tables give no rows; other
     columns are not read."""
     spark = documents.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where(F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")) >= shingle)
+    items = items.where(F.col("text").rlike(WORD))
     items = written(items.withColumn("n", F.monotonically_increasing_id()), "items")
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,5 +205,6 @@ class Weights:
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """documents that hold no benchmark item, with all their columns."""
-    found = written(leaks(documents, benchmark, **options).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
-    return documents.join(sized(found, 16), documents["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = fresh(documents)("gone")
+    found = written(leaks(documents, benchmark, **options).select(F.col("doc_id").alias(gone)).distinct(), "leaks")
+    return documents.join(sized(found, 16), documents["doc_id"].cast("long") == F.col(gone), "left_anti")

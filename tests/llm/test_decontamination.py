@@ -11,19 +11,19 @@ def grams(words, k=5):
 
 def brute(docs, items, least=0.8, k=5):
     usable = [(i, (t or "").lower().split()) for i, t in items]
-    usable = [(i, w) for i, w in usable if len(w) >= k]
-    df = Counter(g for _, w in usable for g in set(grams(w, k)))
+    usable = [(i, w) for i, w in usable if w]
+    df = Counter(g for _, w in usable for g in set(grams(w, min(k, len(w)))))
     weight = lambda g: 1 + math.log(len(usable) / max(1, df[g]))
     out = {}
     for d, t in docs:
         words = (t or "").lower().split()
         for i, w in usable:
-            a = grams(w, k)
+            a = grams(w, min(k, len(w)))
             for s in range(len(words) - len(w) + 1):
-                b = grams(words[s : s + len(w)], k)
+                b = grams(words[s : s + len(w)], min(k, len(w)))
                 keys = a.keys() | b.keys()
                 j = sum(min(a[g], b[g]) * weight(g) for g in keys) / sum(max(a[g], b[g]) * weight(g) for g in keys)
-                if j >= least:
+                if j >= least - 1e-9:
                     out[d, i] = max(out.get((d, i), (0, 0)), (round(j, 9), -s))
     return out
 
@@ -32,7 +32,7 @@ def corpus():
     rng = random.Random(9)
     vocabulary = [f"v{i}" for i in range(60)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(text(rng.choice([5, 8, 15, 30, 55])))) for i in range(14)] + [(20, None), (21, ""), (22, "a b c"), (23, "v1 " * 12)]
+    items = [(i, " ".join(text(rng.choice([5, 8, 15, 30, 55])))) for i in range(14)] + [(20, None), (21, ""), (22, "V1 v2 v3"), (24, "v7"), (25, "v5 v5"), (26, "  \n"), (23, "v1 " * 12)]
     docs = []
     for d in range(40):
         words = text(rng.choice([0, 3, 40, 200]))
@@ -108,3 +108,38 @@ def test_blocks_weigh_the_shingles_of_other_blocks(spark):
     key = lambda rows: sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in rows)
     assert key(leaks(d, b).collect()) == key(leaks(d, b, item_block=4).collect())
     assert {(r["doc_id"], r["item_id"]) for r in leaks(d, b, item_block=4).collect()} == set(brute(docs, [(i, " ".join(w)) for i, w in items]))
+
+
+def test_windows_exactly_at_the_similarity(spark):
+    """32 of 36 shingles each: 32 / 40 whatever the order of the sums, from word 3 on."""
+    rng = random.Random(8)
+    items = [(i, [f"q{rng.randrange(10**9)}" for _ in range(40)]) for i in range(200)]
+    docs = [(i, " ".join(["pad"] * 7 + words[:36] + ["changed"] + words[37:] + ["tail"] * 5)) for i, words in items]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["start_word"]) for r in got) == [(i, i, 3) for i in range(200)]
+    assert all(abs(r["similarity"] - 0.8) < 1e-9 for r in got)
+
+
+def test_recall_over_lengths(spark):
+    """Every window at 0.8 or more, for items of 20, 40 and 80 words with up to three words changed."""
+    rng = random.Random(12)
+    items, docs = [], []
+    for i in range(150):
+        words = [f"q{rng.randrange(10**9)}" for _ in range((20, 40, 80)[i % 3])]
+        items.append((i, " ".join(words)))
+        for at in rng.sample(range(len(words)), rng.randrange(4)):
+            words[at] = f"c{rng.randrange(10**9)}"
+        docs.append((i, " ".join(["pad"] * 6 + words + ["tail"] * 6)))
+    want = set(brute(docs, items))
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_short_items(spark):
+    docs = [(1, "it was the best of times"), (2, "the best of"), (3, "times of best the"), (4, None), (5, "best of Times and more words")]
+    items = [(1, "Best of times"), (2, "the best of times"), (3, " "), (4, None)]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["start_word"], r["n_words"], r["similarity"]) for r in got) == [(1, 1, 3, 3, 1.0), (1, 2, 2, 4, 1.0), (5, 1, 0, 3, 1.0)]
+    clash = spark.createDataFrame([(1, "it was the best of times", 1), (2, "fine", 2)], "doc_id long, text string, gone int")
+    left = without_leaks(clash, spark.createDataFrame(items, "item_id long, text string"))
+    assert left.columns == clash.columns and [r["doc_id"] for r in left.collect()] == [2]
