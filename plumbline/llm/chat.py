@@ -38,13 +38,19 @@ def unescaped(text: str) -> str:
     return _CONTROL.sub(lambda m: m[0][0] + m[0][2:] if m[0][1] == "\\" else m[0], text)
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """Nested field paths of a JSON value; list items share the path with []."""
-    if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) or {at}
-    if isinstance(value, list):
-        return set().union(*(paths(v, at + "[]") for v in value)) or {at + "[]"}
-    return {at}
+def paths(value: object) -> set[str]:
+    """Nested field paths of a JSON value, however deep; list items share the path with [], values in lists other than objects get its path with a !."""
+    out: set[str] = set()
+    todo = [("", value)]
+    while todo:
+        at, now = todo.pop()
+        if isinstance(now, dict) and now:
+            todo += [(f"{at}.{k}" if at else k, v) for k, v in now.items()]
+        elif isinstance(now, list) and now:
+            todo += [(at + "[]", v) for v in now]
+        else:
+            out.add(at + "[]" if now == [] else at + "!" if at.endswith("[]") else at)
+    return out
 
 
 def fingerprint(found: set[str]) -> str:
@@ -56,7 +62,8 @@ def fingerprint(found: set[str]) -> str:
 class Mapping:
     """Where a layout keeps its turns: a list with a role and a text field, or fields with fixed roles.
 
-    Texts of neighbouring fields of one role are joined by a blank line."""
+    Texts of neighbouring fields of one role are joined by a blank line. A null field has
+    no turn, an empty one an empty turn, as in lists."""
 
     name: str
     items: str | None = None
@@ -73,7 +80,9 @@ class Mapping:
         out: list[tuple[str, str]] = []
         for name, role in self.fields:
             value = record.get(name)
-            if value is None or value == "":
+            if value is None:
+                continue
+            if value == "" and out and out[-1][0] == role:
                 continue
             if out and out[-1][0] == role:
                 out[-1] = (role, out[-1][1] + "\n\n" + str(value))
@@ -108,10 +117,24 @@ MAPPINGS = (
 BY_PRINT = {fingerprint(m.layout()): m for m in MAPPINGS} | {fingerprint({f"{m.items}[]"} | {f for f, _ in m.fields}): m for m in reversed(MAPPINGS) if m.items}
 
 
+def record_of(source: str | None) -> dict | None:
+    """The JSON object of a text; None for anything else, nesting beyond what the parser takes included."""
+    try:
+        record = json.loads(source or "null")
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
+
+
+def whole(text: str) -> str:
+    """Halves of surrogate pairs, which no encoding can hold, replaced."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def canonical(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
     """(name of the mapping, turns); no mapping and no turns for an unknown layout."""
     mapping = BY_PRINT.get(fingerprint(paths(record)))
-    return (mapping.name, mapping.turns(record)) if mapping else (None, [])
+    return (mapping.name, [(whole(role), whole(text)) for role, text in mapping.turns(record)]) if mapping else (None, [])
 
 
 def formatted(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -141,8 +164,9 @@ FORMATTED = "conv_id long, mapping string, formatted string, loss_spans array<st
 def chats(records: DataFrame) -> DataFrame:
     """FORMATTED for each row of records (conv_id, record), record being JSON text.
 
-    An unknown layout, broken JSON and a null record give a null mapping and an empty
-    output. Null texts and roles are empty. Repeated rows are rows of their own; an
+    An unknown layout (lists of anything but objects included), broken or too deeply
+    nested JSON and a null record give a null mapping and an empty output. Lone halves of
+    surrogate pairs become U+FFFD. Null texts and roles are empty. Repeated rows are rows of their own; an
     empty table gives none; other columns are not read."""
     small_batches(records.sparkSession)
 
@@ -150,11 +174,8 @@ def chats(records: DataFrame) -> DataFrame:
         for batch in batches:
             names, texts, spans = [], [], []
             for value in batch.column(1):
-                try:
-                    record = json.loads(value.as_py() or "null")
-                except ValueError:
-                    record = None
-                name, turns = canonical(record) if isinstance(record, dict) else (None, [])
+                record = record_of(value.as_py())
+                name, turns = canonical(record) if record is not None else (None, [])
                 text, masked = formatted(turns)
                 names.append(name)
                 texts.append(text)

@@ -13,11 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sized, written
-
-#: Bytes that a host's row with its array of line hashes is assumed to take when the broadcast is sized.
-HOST_ROW_BYTES = 4096
-
+from plumbline.llm.common import fresh, sized, written
 
 def line_key(line: Column) -> Column:
     """What two copies of a line share: its text without spaces, tabs and returns at the ends."""
@@ -26,9 +22,9 @@ def line_key(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, *, host: str, text: str, ratio: float, least_pages: int) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines; hosts without any have no row."""
-    lines = F.array_distinct(F.transform(F.split(F.col(text), "\n"), line_key))
+    lines = F.array_distinct(F.transform(F.split(F.col(f"`{text}`"), "\n"), line_key))
     lines = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x))
-    held = pages.select(F.col(host).cast("string").alias("host"), lines.alias("lines"))
+    held = pages.select(F.col(f"`{host}`").cast("string").alias("host"), lines.alias("lines"))
     # One scan gives both counts: the null line stands for the page itself.
     counted = held.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("lines", F.array().cast("array<long>")))).alias("line"))
     counted = written(counted.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(f"line is null or pages >= {int(least_pages)}"), "line-pages")
@@ -46,17 +42,20 @@ def without_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "
     blank line. A null host is a host of its own. Repeated rows are pages of their
     own. A page of boilerplate only keeps its row with an empty text."""
     found = boilerplate(pages, host=host, text=text, ratio=ratio, least_pages=least_pages)
-    found = sized(found.select(F.col("host").alias("__host"), F.col("boilerplate").alias("__boilerplate")), HOST_ROW_BYTES)
-    joined = pages.join(found, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__boilerplate"), F.xxhash64(line_key(x))))
-    has = F.col("__boilerplate").isNotNull() & F.col(text).isNotNull()
-    joined = joined.withColumn("__kept", F.when(has, kept))
-    new = F.when(has, F.array_join("__kept", "\n")).otherwise(F.col(text))
+    name = fresh(pages)
+    of, known, left = name("of_host"), name("boilerplate"), name("kept_lines")
+    found = sized(found, 64 + F.octet_length(F.coalesce("host", F.lit(""))) + 8 * F.size("boilerplate")).select(F.col("host").alias(of), F.col("boilerplate").alias(known))
+    own, body = F.col(f"`{host}`"), F.col(f"`{text}`")
+    joined = pages.join(found, own.cast("string").eqNullSafe(F.col(of)), "left")
+    lines = F.split(body, "\n")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(known), F.xxhash64(line_key(x))))
+    has = F.col(known).isNotNull() & body.isNotNull()
+    joined = joined.withColumn(left, F.when(has, kept))
+    new = F.when(has, F.array_join(left, "\n")).otherwise(body)
     out = [new.alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:
-        n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-        out += [n.alias("n_lines"), F.when(has, n - F.size("__kept")).otherwise(0).cast("long").alias("n_dropped")]
+        n = F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long")
+        out += [n.alias("n_lines"), F.when(has, n - F.size(left)).otherwise(0).cast("long").alias("n_dropped")]
     return joined.select(*out)
 
 

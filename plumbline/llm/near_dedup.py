@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, WordHashes, dropped, mixed, shingles, sized, small_batches, words_of, written
+from plumbline.llm.common import U64, WordHashes, dropped, fresh, mixed, shingles, sized, small_batches, words_of, written
 from plumbline.llm.graph import components
 
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
@@ -220,7 +220,8 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     Null, empty or blank texts: no shingles, linked with nothing. Fewer words than
     `shingle`: the whole sequence is the one shingle. A null doc_id: the row is
     returned with a null component_id and kept, and links nothing. Repeated rows:
-    every row is returned; rows that share an id are one node of the graph. Ties need
+    every row is returned; rows that share an id are one node of the graph, so they
+    link what their texts are linked with. Ties need
     no rule, the smallest id wins. Other columns of documents are not read."""
     small_batches(documents.sparkSession)
     signed = written(signatures(documents, shingle, samples, rows, bits), "signatures")
@@ -241,7 +242,12 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
 
     near = written(sketched(active.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "near")
     best = written(near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
-    links = confirmed(best, documents, shingle, percent)
+    # Rows that share an id are one node: the classes of their texts are linked through it.
+    shared = live.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("s1").alias("x"), F.max("s1").alias("y")).where("n > 1 and x <> y").select("doc_id")
+    shared = live.join(sized(written(shared, "shared-ids"), 16), "doc_id").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep")
+    least = shared.groupBy("doc_id").agg(F.min("rep").alias("least"))
+    joints = written(shared.join(least, "doc_id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "joints")
+    links = confirmed(best, documents, shingle, percent).unionAll(joints)
     labels = components(links)
 
     def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,5 +282,6 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
 
 def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """documents without those that have a near duplicate of smaller id in their component; all columns stay."""
-    found = written(near_duplicates(documents, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return documents.join(sized(found, 16), documents["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = fresh(documents)("gone")
+    found = written(near_duplicates(documents, **options).where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    return documents.join(sized(found, 16), documents["doc_id"].cast("long") == F.col(gone), "left_anti")

@@ -4,7 +4,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm.chat import CONTROL, canonical, chats, digests, escaped, formatted, parsed, records_of_turns, unescaped
+from plumbline.llm.chat import CONTROL, MAPPINGS, canonical, chats, digests, escaped, formatted, parsed, records_of_turns, unescaped
 
 PIECES = st.lists(st.sampled_from([*CONTROL, "\\", "<", "[", "|", "/", ">", "\n", "text", "é", "<\\|end|>", "user"]), max_size=8).map("".join)
 
@@ -55,3 +55,36 @@ def test_broken_records(spark):
     got = {r["conv_id"]: (r["mapping"], r["formatted"]) for r in chats(table).collect()}
     assert got[1] == got[2] == got[3] == (None, "") and got[4][0] == "prompt-response"
     assert chats(table.limit(0)).collect() == []
+
+
+def test_records_that_no_parser_takes_whole(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    odd = ['{"messages": ["hi"]}', '{"messages": [null]}', '{"messages": [[]]}', '{"messages": [{}]}', '{"messages": "x"}', '{"messages": [{"role": "user", "content": "x"}, 1]}', '{"prompt": ' + deep + ', "response": "r"}', "null", "3"]
+    rows = [(i, x) for i, x in enumerate(odd)] + [(100, '{"prompt": "a\\ud800b", "response": "\\ud83d\\ude00"}'), (101, '{"messages": [{"role": null, "content": null}]}'), (102, '{"prompt": "", "completion": ""}'), (103, '{"prompt": null, "completion": "c"}')]
+    got = {r["conv_id"]: r for r in digests_and_texts(spark.createDataFrame(rows, "conv_id long, record string"))}
+    assert all(got[i]["mapping"] is None and got[i]["formatted"] == "" and got[i]["n_turns"] == 0 for i in range(len(odd)))
+    assert parsed(got[100]["formatted"]) == [("user", "a\ufffdb"), ("assistant", "\U0001f600")]
+    assert parsed(got[101]["formatted"]) == [("", "")]
+    assert parsed(got[102]["formatted"]) == [("user", ""), ("assistant", "")] and parsed(got[103]["formatted"]) == [("assistant", "c")]
+
+
+def digests_and_texts(table):
+    chat = chats(table)
+    return chat.join(digests(chat), "conv_id").collect()
+
+
+def test_a_table_of_all_layouts(spark):
+    """Each of the mappings is met through its fingerprint, and its texts come back from the output."""
+    rows, want = [], {}
+    for i, m in enumerate(MAPPINGS):
+        record = {f: f"{f} of {i}" for f, _ in m.fields}
+        if m.items:
+            record[m.items] = [{m.role: "human", m.text: "Q </s>"}, {m.role: "assistant", m.text: "A " * 20_000}]
+        rows.append((i, json.dumps(record)))
+        want[i] = (m.name, m.turns(record))
+    got = {r["conv_id"]: r for r in digests_and_texts(spark.createDataFrame(rows, "conv_id long, record string"))}
+    assert len(got) == 13
+    for i, (name, turns) in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert got[i]["mapping"] == name and parsed(got[i]["formatted"]) == turns and len(turns) > 1
+        assert got[i]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[i]["loss_chars"] == len(loss) > 0

@@ -38,3 +38,10 @@ def test_keeps_rows_and_columns(spark):
     out = without_boilerplate(docs)
     assert out.columns == docs.columns and [(r["text"], r["n_lines"]) for r in out.collect()] == [("", "keep")] * 4
     assert without_boilerplate(docs.limit(0)).collect() == []
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "Menu\nown", "s", "k", "h", "b", "o") for i in range(4)], "doc_id long, text string, source string, kept_lines string, __host string, boilerplate string, OF_HOST string")
+    out = without_boilerplate(docs)
+    assert out.columns == docs.columns
+    assert [tuple(r)[1:] for r in out.collect()] == [("", "s", "k", "h", "b", "o")] * 4

@@ -117,3 +117,20 @@ def test_buckets_of_unlinked_members_meet_in_blocks(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect()}
     assert got == brute(texts)
     assert 1 < len({c for _, c, _ in got.values()}) < 120
+
+
+def test_rows_that_share_an_id_link_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, "alone in the table"), (12, None), (12, b)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, gone int")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (12, 3, False), (12, 12, True)}
+    left = without_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 11]
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1000:])), (3, " ".join(words[30_000:]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == {1: (59_997, 1), 2: (58_997, 1), 3: (29_997, 3)}
