@@ -49,16 +49,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    deleted(df.sparkSession, df.scratch_path)
+
+
+#: Paths written within each scope under way, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows, written; every other table that was written on the way is deleted, so nothing lazy of it may be used."""
+    _scopes.append([])
+    try:
+        out = written(make(), name)
+    finally:
+        paths = _scopes.pop()
+    for path in paths:
+        if path != out.scratch_path:
+            deleted(out.sparkSession, path)
+    if _scopes:
+        _scopes[-1].append(out.scratch_path)
+    return out
 
 
 def sized(df: DataFrame, row_bytes: int | Column) -> DataFrame:

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from plumbline.llm.mixing import budgets, mixed_sources, mixing_sql
+from plumbline.llm.mixing import budgets, mixed_documents, mixed_sources, mixing_sql
 
 COLUMNS = "doc_id long, text string, lang string, source string, epoch long, key string, part double"
 
@@ -72,3 +72,14 @@ def test_empty_table_and_ties(spark):
     assert mixed_sources(docs.limit(0)).collect() == []
     same = spark.createDataFrame([(7, "a b", "en", "src1", 1, "k", 0.1)] * 6 + [(None, "a", "en", "src1", 1, "k", 0.1)], COLUMNS)
     assert sum(r["n_tokens"] for r in mixed_sources(same, fraction=0.5, epochs=1).collect()) <= 6
+
+
+def test_documents_keep_their_columns(spark):
+    docs = spark.createDataFrame([*rows_of(), (7000, "w " * 60_000, "en", "src1", 3, "k", 0.1)], COLUMNS)
+    out = mixed_documents(docs)
+    assert out.columns == [*docs.columns, "domain", "epoch_", "n_tokens"]
+    want = sorted(tuple(map(str, r)) for r in mixed_sources(docs).select("doc_id", "epoch", "n_tokens", "domain").collect())
+    assert sorted(tuple(map(str, r)) for r in out.select("doc_id", "epoch_", "n_tokens", "domain").collect()) == want
+    texts = {r[0]: r[1:] for r in rows_of()} | {7000: ("w " * 60_000, "en", "src1", 3, "k", 0.1)}
+    assert all(tuple(r)[1:7] == texts[r["doc_id"]] for r in out.collect())
+    assert mixed_documents(docs.limit(0)).collect() == []

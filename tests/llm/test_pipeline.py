@@ -1,11 +1,13 @@
 """The pipeline against the brute-force versions of its stages, one after the other."""
 
+import os
 import random
 
 import duckdb
 import pytest
 
 import corpus_pipeline
+from plumbline.llm.common import shared_folder
 from plumbline.llm.mixing import mixing_sql
 from plumbline.llm.toxicity import Model, Reader, learned
 from tests.llm.test_decontamination import brute as brute_leaks
@@ -60,8 +62,21 @@ def test_equals_brute_force(spark, folder):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [list(d) for d in rows])
     want = sorted(con.sql("SELECT doc_id, domain, lang, source, epoch, n_tokens FROM (" + mixing_sql() + ")").fetchall())
-    got = sorted(tuple(r[c] for c in ("doc_id", "domain", "lang", "source", "epoch", "n_tokens")) for r in corpus_pipeline.run(spark, folder).collect())
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "domain", "epoch", "n_tokens"]
+    rows = {d[0]: d for d in rows}
+    result = out.collect()
+    got = sorted((r["doc_id"], r["domain"], r["lang"] or "", r["source"] or "", r["epoch"], r["n_tokens"]) for r in result)
     assert got == want and got
+    assert all((r["text"], r["lang"], r["source"]) == rows[r["doc_id"]][1:4] and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in result)
+
+
+def test_scratch_tables_are_deleted(spark, folder):
+    base = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(base))
+    out = corpus_pipeline.run(spark, folder)
+    left = set(os.listdir(base)) - before
+    assert len(left) == 1 and out.count() > 0 and out.scratch_path.endswith(left.pop())
 
 
 def test_stages_keep_the_columns_of_documents(spark, folder):
