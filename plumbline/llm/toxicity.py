@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols (insult, threat, modal, target, negation, report, other).
-Small deterministic transducers each rewrite a clause's symbols: one marks negated
-insults, one reported speech, one insults with a target, one threats. They are composed into a
-single machine whose output is a factor for every lexeme's weight, so a clause is
-scored, not a word. Insult lexemes are whole words or word beginnings; their weights
-are learned from labelled documents, beside a short list of plain insults.
+Five small transducers each rewrite a clause's symbols and change its scores: negation,
+insult, threat, target and reported speech. An arc's weight is a map x -> times * x +
+plus of what a word scores so far, so composing two machines composes their weights,
+and all five become one machine that gives the score of every word in one pass. What
+counts is the clause: an insult scores in full only beside a target or other insults
+(of the plain list, not enough alone), a threat only with a target soon after it. Insult lexemes are whole words or word
+beginnings; their weights are learned from labelled documents, beside a short list of
+plain insults.
 
 The model is small whatever the corpus: at most `most_lexemes` lexemes and three
 numbers, learned from at most `fit_rows` labelled documents of each class.
@@ -17,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -28,9 +32,9 @@ from plumbline.llm.common import small_batches, written
 
 #: Symbols of input words.
 OTHER, NEGATION, REPORT, TARGET, INSULT, THREAT, MODAL = "O", "N", "R", "Y", "I", "V", "W"
-#: Symbols that transducers write: negated, reported, targeted insult, and a threat with its modal verb.
-NEGATED, REPORTED, TARGETED, MENACE = "i", "r", "T", "X"
-ALPHABET = [OTHER, NEGATION, REPORT, TARGET, INSULT, THREAT, MODAL, NEGATED, REPORTED, TARGETED, MENACE]
+#: Symbols that transducers write: a negated insult, an insult as said, one with a target, and a threat to a target.
+NEGATED, ABUSE, TARGETED, MENACE = "i", "A", "T", "X"
+ALPHABET = [OTHER, NEGATION, REPORT, TARGET, INSULT, THREAT, MODAL, NEGATED, ABUSE, TARGETED, MENACE]
 
 FUNCTION_WORDS = {
     NEGATION: "not never no nor isn aren wasn don doesn didn pas jamais ni nicht kein keine niemals nunca jamás",
@@ -41,48 +45,65 @@ FUNCTION_WORDS = {
 THREATS = "kill murder hurt destroy shoot stab strangle smash tuer töten umbringen matar destruir"
 INSULTS = "idiot idiots moron morons scum loser losers trash pathetic worthless disgusting stupid clown bitch bastard asshole connard salope abruti imbécile arschloch dummkopf hurensohn gilipollas pendejo cabrón estúpido"
 
-#: Factor of a lexeme's weight by the symbol that the grammar leaves on it.
-FACTORS = {INSULT: 1.0, TARGETED: 1.25, REPORTED: 0.6, NEGATED: 0.4, MENACE: 1.0}
-PLAIN_WEIGHT, MENACE_WEIGHT = 5.0, 6.0
+PLAIN_WEIGHT = 5.0
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 
+@dataclass(frozen=True)
+class Arc:
+    """What a symbol becomes, the next state, and the weight: a score x becomes times * x + plus."""
+
+    out: str
+    to: int
+    times: float = 1.0
+    plus: float = 0.0
+
+
 @dataclass
 class Transducer:
-    """Deterministic and total: what arcs doesn't name is copied and leads to rest[state]."""
+    """Deterministic and total: what arcs doesn't name is copied, scores as before, and leads to rest[state]."""
 
     start: int
-    arcs: dict[tuple[int, str], tuple[str, int]]
+    arcs: dict[tuple[int, str], Arc]
     rest: dict[int, int]
 
-    def step(self, state: int, symbol: str) -> tuple[str, int]:
-        return self.arcs.get((state, symbol)) or (symbol, self.rest[state])
+    def step(self, state: int, symbol: str) -> Arc:
+        return self.arcs.get((state, symbol)) or Arc(symbol, self.rest[state])
 
 
 def composed(first: Transducer, second: Transducer) -> Transducer:
-    """The transducer that rewrites by first, then by second, over pairs of their states."""
+    """The transducer that rewrites by first, then by second, over pairs of their states; weights are composed as maps."""
     pairs = {p: i for i, p in enumerate(product(first.rest, second.rest))}
     arcs = {}
     for (p, q), i in pairs.items():
         for symbol in ALPHABET:
-            middle, p2 = first.step(p, symbol)
-            out, q2 = second.step(q, middle)
-            arcs[i, symbol] = (out, pairs[p2, q2])
+            x = first.step(p, symbol)
+            y = second.step(q, x.out)
+            arcs[i, symbol] = Arc(y.out, pairs[x.to, y.to], x.times * y.times, x.plus * y.times + y.plus)
     return Transducer(pairs[first.start, second.start], arcs, {i: i for i in pairs.values()})
 
 
+def transducers() -> list[Transducer]:
+    """Negation, insult, threat, target and reported speech, in the order in which they are composed."""
+    # A negation reaches two words on.
+    near = {(s, INSULT): Arc(NEGATED, 0, 0.4) for s in (1, 2)} | {(s, THREAT): Arc(OTHER, 0, 0.0) for s in (1, 2)}
+    negation = Transducer(0, {(s, NEGATION): Arc(NEGATION, 1) for s in (0, 1, 2)} | near, {0: 0, 1: 2, 2: 0})
+    # The first insult of a clause says less by itself than those after it.
+    insult = Transducer(0, {(0, INSULT): Arc(ABUSE, 1, 0.8), (1, INSULT): Arc(ABUSE, 1)}, {0: 0, 1: 1})
+    # States: nothing; a modal one or two words ago; a threat with a modal, or without one, none to two words ago.
+    modal = {(s, MODAL): Arc(MODAL, 1) for s in range(9)}
+    verb = {(s, THREAT): Arc(THREAT, 3 if s in (1, 2) else 6) for s in range(9)}
+    aimed = {(s, TARGET): Arc(MENACE, 0, 1.0, 6.0 if s < 6 else 5.0) for s in range(3, 9)}
+    threat = Transducer(0, modal | verb | aimed, {0: 0, 1: 2, 2: 0, 3: 4, 4: 5, 5: 0, 6: 7, 7: 8, 8: 0})
+    # A target before an insult, or after it.
+    target = Transducer(0, {(0, TARGET): Arc(TARGET, 1), (1, ABUSE): Arc(TARGETED, 1, 1.25), (0, ABUSE): Arc(ABUSE, 2), (2, TARGET): Arc(TARGETED, 1, 1.0, 1.0)}, {0: 0, 1: 1, 2: 2})
+    report = Transducer(0, {(0, REPORT): Arc(REPORT, 1), (1, ABUSE): Arc(ABUSE, 1, 0.6), (1, TARGETED): Arc(TARGETED, 1, 0.6), (1, MENACE): Arc(MENACE, 1, 0.3)}, {0: 0, 1: 1})
+    return [negation, insult, threat, target, report]
+
+
 def grammar() -> Transducer:
-    """Negation, reported speech, target and threat, composed."""
-    near = {(s, x): (NEGATED if x == INSULT else OTHER, 0) for s in (1, 2) for x in (INSULT, THREAT)}
-    negation = Transducer(0, {(0, NEGATION): (NEGATION, 1), (1, NEGATION): (NEGATION, 1), (2, NEGATION): (NEGATION, 1)} | near, {0: 0, 1: 2, 2: 0})
-    report = Transducer(0, {(0, REPORT): (REPORT, 1), (1, INSULT): (REPORTED, 1), (1, THREAT): (OTHER, 1)}, {0: 0, 1: 1})
-    target = Transducer(0, {(0, TARGET): (TARGET, 1), (1, INSULT): (TARGETED, 1)}, {0: 0, 1: 1})
-    threat = Transducer(0, {(s, MODAL): (MODAL, 1) for s in (0, 1, 2)} | {(1, THREAT): (MENACE, 0), (2, THREAT): (MENACE, 0)}, {0: 0, 1: 2, 2: 0})
-    out = negation
-    for nxt in (report, target, threat):
-        out = composed(out, nxt)
-    return out
+    return reduce(composed, transducers())
 
 
 @dataclass
@@ -90,7 +111,7 @@ class Model:
     """Lexemes (a word, or a beginning with a trailing '-') with weights, and the logistic end of the score."""
 
     lexemes: dict[str, float] = field(default_factory=dict)
-    bias: float = -3.0
+    bias: float = -3.5
     most: float = 1.0
     total: float = 0.0
 
@@ -115,7 +136,7 @@ class Reader(dict):
         super().__init__()
         self.lexemes = model.lexemes
         self.fixed = {w: (s, 0.0) for s, words in FUNCTION_WORDS.items() for w in words.split()}
-        self.fixed |= {w: (THREAT, MENACE_WEIGHT) for w in THREATS.split()}
+        self.fixed |= {w: (THREAT, 0.0) for w in THREATS.split()}
         self.plain = set(INSULTS.split())
         self.machine = grammar()
 
@@ -129,20 +150,21 @@ class Reader(dict):
     def clauses(self, text: str | None) -> tuple[float, float, int]:
         """The largest clause score, the sum of clause scores, and the number of clauses that score."""
         most = total = 0.0
-        n = 0
+        n, arcs = 0, self.machine.arcs
         read = [("", 0.0) if len(t) == 1 and t in ".!?;:\n" else self[t] for t in TOKEN.findall((text or "").lower())]
         i, end = 0, len(read)
         while i < end:
             j = i
             marked = False
             while j < end and read[j][0]:
-                marked |= read[j][1] > 0
+                marked |= read[j][0] in (INSULT, THREAT)
                 j += 1
             if marked:
                 state, clause = self.machine.start, 0.0
                 for symbol, weight in read[i:j]:
-                    out, state = self.machine.step(state, symbol)
-                    clause += weight * FACTORS.get(out, 0.0)
+                    arc = arcs[state, symbol]
+                    state = arc.to
+                    clause += weight * arc.times + arc.plus
                 most, total, n = max(most, clause), total + clause, n + (clause > 0)
             i = j + 1
         return most, total, n

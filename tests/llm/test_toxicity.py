@@ -1,6 +1,7 @@
+import random
 import zlib
 
-from plumbline.llm.toxicity import Model, Reader, composed, grammar, held_out, learned, scored, without_toxic
+from plumbline.llm.toxicity import Model, Reader, grammar, held_out, learned, scored, transducers, without_toxic
 
 
 def most(text, **lexemes):
@@ -17,25 +18,41 @@ def test_grammar_weighs_clauses():
     assert most("") == most(None) == 0
 
 
-def test_composition_equals_running_one_after_the_other():
-    from itertools import product
-
-    from plumbline.llm.toxicity import Transducer
+def one_after_the_other(words):
+    """Clause score by running the five machines in turn over a list of (symbol, score)."""
+    for machine in transducers():
+        state, out = machine.start, []
+        for symbol, score in words:
+            arc = machine.step(state, symbol)
+            state = arc.to
+            out.append((arc.out, arc.times * score + arc.plus))
+        words = out
+    return sum(score for _, score in words)
 
-    first = Transducer(0, {(0, "N"): ("N", 1), (1, "I"): ("i", 0)}, {0: 0, 1: 1})
-    second = Transducer(0, {(0, "i"): ("O", 1), (1, "I"): ("r", 1)}, {0: 0, 1: 0})
-    both = composed(first, second)
 
-    def run(t, word):
-        s, out = t.start, []
-        for x in word:
-            y, s = t.step(s, x)
-            out.append(y)
-        return out
-
-    for word in product("NIOi", repeat=4):
-        assert run(both, word) == run(second, run(first, word))
-    assert len(grammar().rest) > 20
+def test_composition_equals_running_one_after_the_other():
+    """Over whole documents of random words, clause by clause."""
+    rng = random.Random(4)
+    reader = Reader(Model({"zorg-": 2.5, "blah": 1.25}))
+    words = "idiot moron you not said kill will zorgs blah fine table we never told him destroy".split()
+    seen = set()
+    for _ in range(400):
+        clauses = [[rng.choice(words) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(6))]
+        scores = [one_after_the_other([reader[w] for w in clause]) for clause in clauses]
+        most, total, n = reader.clauses(". ".join(" ".join(c) for c in clauses))
+        assert abs(most - max([0.0, *scores])) < 1e-9 and abs(total - sum(scores)) < 1e-9 and n == sum(x > 0 for x in scores)
+        seen |= {round(x, 6) for x in scores}
+    assert len(seen) > 100 and len(grammar().rest) == 3 * 2 * 9 * 3 * 2
+
+
+def test_threats_need_targets_and_single_words_are_not_toxic():
+    model = Model()
+    reader = Reader(model)
+    toxic = lambda text: model.score(*reader.clauses(text)[:2]) >= 0.7
+    for text in ("kill you", "i will kill you", "we are going to hurt him badly", "you idiot", "you are an idiot", "pathetic loser"):
+        assert toxic(text), text
+    for text in ("we will destroy the cancer cells", "i am going to kill the process", "idiot", "you are not an idiot", "he said you are an idiot", "he said i will kill you", "i will not kill you", ""):
+        assert not toxic(text), text
 
 
 def labelled(spark, n=300):
