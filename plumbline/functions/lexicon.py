@@ -89,6 +89,71 @@ UNITS = {
     "тыс.": "тысяча", "экземпляра": "экземпляр", "экземпляров": "экземпляр", "экземпляре": "экземпляр", "экземпляр": "экземпляр",
 }
 
+#: Endings that the stemmer takes off, tried in this order.
+ENDINGS = """
+иями ями ами иях ях ах ов ев ой ый ий ая яя ое ее ые ие ых их ем ом ым им ам ям ую юю ью ия ии ей
+а я о е ы и у ю ь й
+""".split()
+
+SEARCH_STOP_WORDS = """
+и в во не что он на я быть с а это все она так его но да ты к у же вы за мы из по о от до для или
+если уже был была было были бы как то только их её тем также при
+""".split()
+
+TITLE_STOP_WORDS = "которым которые которого разрешается утверждении изменений внесении отдельные".split()
+
+#: What makes a number near it unclear.
+HEDGES = """
+около|примерно|приблизительно|не менее|не более|и т.д|и тому подоб|некоторые|несколько|как правило|
+возможно|в зависимости|соответствующ|установленн|ряд случаев|многие|либо|или более|от 
+""".strip("\n").replace("\n", "").split("|")
+
+#: Words that end in a full stop without ending a sentence.
+ABBREVIATIONS = "т е д п г гг рис табл см др проф акад тыс млн млрд руб коп с стр напр им обл р ул кв оф mr dr etc vs i.e e.g".split()
+
+#: Kinds of values and their patterns, from special to general.
+_UNIT = "лет|года|годов|году|год|месяцев|месяца|месяц|мес|недель|недели|неделю|дней|дня|день|суток|часов|часа|час|минут|минуты|минуту"
+_NUMBER = (
+    "одного|одной|одному|один|одна|двух|двумя|два|две|трёх|тремя|три|четырёх|четыре|пяти|пять|"
+    "шести|шесть|семи|семь|восьми|восемь|девяти|девять|десяти|десять|одиннадцать|двенадцать|"
+    "тринадцать|четырнадцать|пятнадцать|шестнадцать|семнадцать|восемнадцать|девятнадцать|"
+    "двадцать|тридцать|сорок|пятьдесят|шестьдесят|семьдесят|восемьдесят|девяносто|сто"
+)
+_MEASURE = (
+    "экземпляров|экземпляра|экземпляр|процентов|процента|процент|рублей|рубля|рубль|"
+    "документов|документа|человек|сотрудников|сотрудника|дней|дня|день|раз|раза|штук|штуки"
+)
+_MONTH = "января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря"
+VALUE_PATTERNS = {
+    "date_day_month_year": rf"\d{{1,2}}\s+(?:{_MONTH})\s+\d{{4}}(?:\s*г(?:ода)?\.?)?",
+    "date_numeric": r"\d{1,2}\.\d{1,2}\.\d{2,4}",
+    "year": r"\d{4}\s*(?:год|года|году|г\.)",
+    "money": r"\d[\d\s]*(?:,\d+)?\s*(?:руб(?:лей|ля|\.)?|тыс\.?\s*руб(?:\.|лей)?)",
+    "percent": r"\d+(?:[,.]\d+)?\s*(?:процент(?:ов|а)?|%)",
+    "word_term": rf"(?:{_NUMBER})\s+(?:{_UNIT})",
+    "digit_term": rf"\d[\d\s]*\s*(?:{_UNIT})",
+    "digit_measure": rf"\d[\d\s]*(?:,\d+)?\s+(?:{_MEASURE})",
+    "count": r"\d[\d\s]{0,12}\d",
+    "single_number": r"\d",
+    "text_after_verb": r"(?:составляет|составляют|равен|равно|равна|равны|установлен|устанавливается|определяется|принимает)\s+(?:[А-Яа-яЁё]+(?:\s+[А-Яа-яЁё]+){0,2})",
+}
+
+#: What starts a condition.
+CONDITIONS = (
+    "если|в случае|при условии|за исключением|кроме случаев|кроме|по согласованию|в порядке|установленном|при этом|"
+    "в течение|не позднее|не ранее|за исключением случаев"
+).split("|")
+
+#: Words that are no subject of a value.
+NO_SUBJECT = """
+и а но или в во на за по от до из с со к у о об при для не ни что как этом этой этот эти этих том
+его ее их быть был была были составляет составляют является являются должен должна должно должны
+может могут имеет имеют устанавливается устанавливают определяется также числе
+""".split()
+
+#: Characters that a text may have.
+MOST_CHARS = 2_000_000
+
 MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 
 #: Weights of the five working features in a token's risk.

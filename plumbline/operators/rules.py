@@ -1,73 +1,10 @@
-"""Rules over facts: values of sentences, coverage of facts by answers, citations and numbers of rule labels."""
+"""Rules over the numbers of answers: those that the context lacks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import lexicon as lex
-from plumbline.functions import text as tx
-
-#: What counts as a value: dates, numbers with a unit, percentages, plain numbers.
-VALUE = r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}|[0-9]+(?:[.,][0-9]+)?(?:[ \x{A0}]?(?:%|[\p{L}]{2,12}))?"
-
-
-def sentence_rows(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys..., sentence, text, stems) of a text column."""
-    found = F.filter(tx.sentence_array(F.col(column)), lambda x: F.btrim(x, F.lit(tx.BLANKS)) != "")
-    out = rows.select(*keys, F.posexplode(found).alias("sentence", "text"))
-    words = F.filter(F.transform(tx.token_array(F.col("text")), tx.edge_word), lambda w: F.length(w) >= 3)
-    return out.withColumn("stems", F.transform(words, tx.stem))
-
-
-def facts(pairs: DataFrame, least_words: int = 5, most: int = 60) -> DataFrame:
-    """(pair_id, sentence, text, stems, value): the first `most` context sentences of enough words that hold a value."""
-    rows = sentence_rows(pairs, ["pair_id"], "context").withColumn("value", F.regexp_extract("text", VALUE, 0))
-    rows = rows.where((F.size(tx.token_array(F.col("text"))) >= least_words) & (F.col("value") != ""))
-    w = W.partitionBy("pair_id").orderBy("sentence")
-    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
-
-
-def coverage(pairs: DataFrame, omit: float = 0.55, subject: float = 0.6) -> DataFrame:
-    """(pair_id, sentence, value, overlap, status): how the answer deals with each fact of the context.
-
-    overlap is the share of the fact's stems in its best answer sentence. mentioned: that
-    sentence has the value; distorted: it has another value though it tells the fact;
-    partial: it tells the fact without a value; omitted: no sentence tells it, but the
-    answer is about its subject; irrelevant: nor that."""
-    known = facts(pairs)
-    said = sentence_rows(pairs, ["pair_id"], "answer").select("pair_id", F.col("sentence").alias("at"), F.col("text").alias("said"), F.col("stems").alias("own"))
-    share = F.when(F.size("stems") > 0, F.size(F.filter("stems", lambda s: F.array_contains("own", s))) / F.size("stems")).otherwise(0.0)
-    met = known.join(said, "pair_id", "left").withColumn("overlap", F.coalesce(share, F.lit(0.0)))
-    best = met.groupBy("pair_id", "sentence", "value").agg(F.max("overlap").alias("overlap"), F.max_by("said", F.struct("overlap", -F.col("at"))).alias("said"))
-    has = F.contains(F.col("said"), F.col("value"))
-    other = F.regexp_extract("said", VALUE, 0) != ""
-    told = F.col("overlap") >= omit
-    status = F.when(told & has, "mentioned").when(told & other, "distorted").when(told, "partial").when(F.col("overlap") >= 1 - subject, "omitted").otherwise("irrelevant")
-    return best.select("pair_id", "sentence", "value", "overlap", status.alias("status"))
-
-
-def normalized_units(text: Column) -> Column:
-    """Units in their canonical form, longer forms first."""
-    out = text
-    for form in sorted(lex.UNITS, key=len, reverse=True):
-        left, right = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])") if form[-1].isalpha() else (r"(?<![\p{L}\p{N}_])" if form[0].isalpha() else "", "")
-        out = F.regexp_replace(out, f"(?iu){left}\\Q{form}\\E{right}", lex.UNITS[form])
-    return out
-
-
-def normalized_dates(text: Column) -> Column:
-    """Dates as DD.MM.YYYY: a day, a month's name and a year, or digits with dots (two-digit years are of this century)."""
-    out = text
-    for i, month in enumerate(lex.MONTHS, 1):
-        tail = r"(?:\s+(?:года|году|г\.?))?"
-        out = F.regexp_replace(out, rf"(?iu)(?<!\d)(\d{{2}})\s+{month}\s+(\d{{4}}){tail}", f"$1.{i:02d}.$2")
-        out = F.regexp_replace(out, rf"(?iu)(?<!\d)(\d)\s+{month}\s+(\d{{4}}){tail}", f"0$1.{i:02d}.$2")
-    out = F.regexp_replace(out, r"(?<![\d.])(\d)\.(\d{1,2})\.(\d{2}(?:\d{2})?)(?![\d.]*\d)", "0$1.$2.$3")
-    out = F.regexp_replace(out, r"(?<![\d.])(\d{2})\.(\d)\.(\d{2}(?:\d{2})?)(?![\d.]*\d)", "$1.0$2.$3")
-    return F.regexp_replace(out, r"(?<![\d.])(\d{2}\.\d{2})\.(\d{2})(?![\d.]*\d)", "$1.20$2")
-
 
 def missing_numbers(pairs: DataFrame) -> DataFrame:
     """(pair_id, value, n): numbers of the answer that the context doesn't have."""

@@ -546,12 +546,6 @@ def missing_numbers(spark, sf):
     return rules.missing_numbers(neighbours(spark, sf))
 
 
-@query()
-def fact_coverage(spark, sf):
-    out = rules.coverage(neighbours(spark, sf))
-    return out.select("pair_id", F.col("sentence").cast("long"), "value", F.round("overlap", 6).alias("overlap"), "status")
-
-
 @query()
 def style_scores(spark, sf):
     out = detector.analyze(table(spark, sf, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text")

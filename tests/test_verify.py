@@ -1,7 +1,8 @@
 import pytest
 
 from plumbline.operators import features as ft
-from plumbline.operators import rules
+from plumbline.functions import normalize
+from plumbline.operators import coverage
 from plumbline.plans import verify as vf
 
 CONTEXT = "Срок хранения первичных документов составляет пять лет. Срок хранения вторичных документов составляет десять лет."
@@ -59,7 +60,7 @@ def test_units_dates_and_coverage(spark):
     from pyspark.sql import functions as F
 
     row = spark.createDataFrame([("срок 5 лет, 10 %, подписан 24 июня 2025 г. и 1.2.25",)], "t string")
-    assert row.select(rules.normalized_dates(F.col("t"))).first()[0] == "срок 5 лет, 10 %, подписан 24.06.2025 и 01.02.2025"
-    assert row.select(rules.normalized_units(F.col("t"))).first()[0].startswith("срок 5 год, 10 процент")
-    got = {r["value"]: r["status"] for r in rules.coverage(pairs(spark, "Архив хранит отчёты 5 лет.", context="Архив хранит отчёты ровно 5 лет. Склад держит запасы масла около 30 дней.")).collect()}
+    assert row.select(normalize.normalized_dates(F.col("t"))).first()[0] == "срок 5 лет, 10 %, подписан 24.06.2025 и 01.02.2025"
+    assert row.select(normalize.normalized_units(F.col("t"))).first()[0].startswith("срок 5 год, 10 процент")
+    got = {r["value"]: r["status"] for r in coverage.coverage(pairs(spark, "Архив хранит отчёты 5 лет.", context="Архив хранит отчёты ровно 5 лет. Склад держит запасы масла около 30 дней.")).collect()}
     assert got["5 лет"] == "mentioned" and got["30 дней"] == "irrelevant"
