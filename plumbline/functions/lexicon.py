@@ -151,6 +151,13 @@ NO_SUBJECT = """
 может могут имеет имеют устанавливается устанавливают определяется также числе
 """.split()
 
+#: Signs (as in a character class) and words that part clauses.
+CLAUSE_SIGNS = r',;:()\[\]{}«»"“”'
+CLAUSE_WORDS = (
+    r"и|а|но|или|либо|причем|причём|при\s+этом|который|которая|которое|которые|"
+    r"что|чтобы|если|когда|в\s+случае|за\s+исключением|кроме|порядке|соответствии"
+)
+
 #: Characters that a text may have.
 MOST_CHARS = 2_000_000
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as lex
 from plumbline.functions import text as tx
+from plumbline.operators import coverage as cv
 from plumbline.operators import features as ft
 from plumbline.operators import sequence as sq
+from plumbline.operators import shaping as sh
+from plumbline.scratch import written
 
 
 def token_risks(pairs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -84,3 +87,41 @@ def verify(pairs: DataFrame, threshold: float = lex.THRESHOLD) -> DataFrame:
     strong = (F.col("mask_tokens") >= lex.MIN_MASK_TOKENS) & (F.col("longest") >= lex.MIN_FRAGMENT_CHARS)
     verdict = F.when(F.col("n_tokens") == 0, "empty").when(F.col("score") >= threshold, "likely_hallucination").when((F.col("n_borrowed") > 0) | strong, "doubtful").otherwise("grounded")
     return rows.withColumn("ai_share_hard", share).withColumn("verdict", verdict)
+
+
+def result_spans(pairs: DataFrame, rows: DataFrame, expansion: str = "clause", least_chars: int = 0, cover: bool = True) -> DataFrame:
+    """Spans of sh.SPAN of the spanned() tokens: the mask's, those around numbers of other subjects, and those of facts that the answer leaves out or changes."""
+    answers = pairs.select("pair_id", "answer")
+    mask = sh.merged(sh.expanded(sh.mask_groups(rows), answers, expansion))
+    if least_chars:
+        mask = sh.without_short(mask, least_chars)
+    limits = rows.groupBy("pair_id").agg(F.max("span_threshold").alias("span_threshold"))
+    numbers = rows.where("borrowed").select("pair_id", "start", F.col("end"))
+    text = sh.attribution_spans(numbers, rows, limits, answers)
+    if cover:
+        text = text.unionByName(sh.coverage_spans(cv.coverage(pairs), limits, answers))
+    return sh.merged(mask.unionByName(text))
+
+
+def verified(pairs: DataFrame, *, threshold: float = lex.THRESHOLD, rule: str = "corroborated", params: dict | None = None, expansion: str = "clause", least_chars: int = 0, cover: bool = True) -> DataFrame:
+    """One row per pair: n_tokens, n_scored, score, span_threshold, mean_risk, p90_risk, spans, ai_share_soft, ai_share_hard, is_hallucination, verdict.
+
+    The verdict is empty without tokens, likely_hallucination from the threshold on, else
+    doubtful if the rule finds the spans strong enough, or grounded. Tokens and spans are
+    written once, as several parts of the result read them."""
+    rows = written(spanned(token_risks(pairs)), "tokens")
+    held = rows.groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count_if("scored").alias("n_scored"), F.max("span_threshold").alias("span_threshold"),
+        F.sort_array(F.collect_list(F.when(F.col("scored"), F.col("smooth"))), asc=False).alias("v"))
+    at = F.size("v") - F.least(F.size("v") - 1, F.greatest(F.lit(0), F.bround(F.lit(0.9) * F.size("v")).cast("int") - 1))
+    p90 = F.when(F.size("v") > 0, F.element_at("v", F.greatest(F.lit(1), at))).otherwise(0.0)
+    mean = F.when(F.size("v") > 0, F.aggregate("v", F.lit(0.0), lambda x, y: x + y) / F.size("v")).otherwise(0.0)
+    held = held.select("pair_id", "n_tokens", "n_scored", "span_threshold", score_of(F.col("v")).alias("score"), F.round(mean, 4).alias("mean_risk"), F.round(p90, 4).alias("p90_risk"))
+    spans = written(result_spans(pairs, rows, expansion, least_chars, cover), "spans")
+    listed = spans.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text", "risk", "label", "n_tokens", "source"))).alias("spans"))
+    out = pairs.select("pair_id").join(held, "pair_id", "left").join(sh.evidence(spans), "pair_id", "left").join(sh.shares(rows, spans), "pair_id", "left").join(listed, "pair_id", "left")
+    out = out.fillna(1.0, ["span_threshold"]).fillna(0, [c for c in out.columns if c not in ("pair_id", "spans")])
+    out = out.withColumn("spans", F.coalesce("spans", F.array().cast(listed.schema["spans"].dataType))).withColumn("threshold", F.lit(threshold)).withColumn("scored_tokens", F.col("n_scored"))
+    verdict = F.when(F.col("n_tokens") == 0, "empty").otherwise(sh.verdict(rule, params))
+    out = out.withColumn("is_hallucination", F.col("score") >= threshold).withColumn("verdict", verdict)
+    return out.select("pair_id", "n_tokens", "n_scored", "score", "span_threshold", "mean_risk", "p90_risk", "spans", "ai_share_soft", "ai_share_hard", "is_hallucination", "verdict")
