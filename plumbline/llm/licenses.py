@@ -10,7 +10,6 @@ positions in the split string. A detection is dropped if another of better prior
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -38,7 +37,8 @@ FAMILIES = (
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("0bsd", "bsd", "(?:0bsd|bsd zero clause|zero clause bsd)"),
-    ("bsd", "bsd", "(?:berkeley software distribution|bsd style|bsd)"),
+    ("bsd", "bsd", "(?:bsd style|bsd)"),
+    ("bsd", "berkeley", "berkeley software distribution"),
     ("gpl-2-only", "gpl", "(?:gnu )?gpl(?: version)? (?:v2|2)(?: 0)? only"),
     ("gpl-2", "gpl", "(?:gnu )?gpl(?: version)? ?(?:v2|2)(?: 0)?"),
     ("gpl-3", "gpl", "(?:gnu )?gpl(?: version)? ?(?:v3|3)(?: 0)?"),
@@ -68,7 +68,8 @@ FAMILIES = (
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl(?: version)?(?: 2)?"),
     ("artistic-2", "artistic", "artistic license(?: version)?(?: 2)?(?: 0)?"),
-    ("python-2", "python", "(?:psf|python software foundation license|python license)(?: version)?(?: 2)?"),
+    ("python-2", "python", "(?:python software foundation|python)(?: license)?(?: version)?(?: 2)?"),
+    ("python-2", "psf", "psf(?: license)?(?: version)?(?: 2)?"),
     ("postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl"),
     ("ofl-1.1", "open font", "(?:sil )?open font license(?: version)?(?: 1)?(?: 1)?"),
@@ -86,7 +87,8 @@ FAMILIES = (
     ("cc-by-sa", "creative commons", "creative commons attribution share ?alike"),
     ("cc-by", "creative commons", "creative commons attribution"),
     ("ms-pl", "microsoft public", "microsoft public license"),
-    ("eupl", "eupl", "(?:european union public license|eupl)(?: version| v)?(?: 1)?(?: 2)?"),
+    ("eupl", "european union", "european union public license(?: version| v)?(?: 1)?(?: 2)?"),
+    ("eupl", "eupl", "eupl(?: version| v)?(?: 1)?(?: 2)?"),
     ("upl", "universal permissive", "universal permissive license"),
 )
 
@@ -104,21 +106,180 @@ FORMS = (
 #: Sentences that identify a licence by themselves: label, keyword, regex.
 SENTENCES = (
     ("mit", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "purpose with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "without restriction", "deal in the software without restriction including without limitation the rights"),
+    ("mit", "substantial portions", "permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "authors or copyright", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit-0", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software .{0,200}? to permit persons to whom the software is furnished to do so the software is provided"),
+    ("x11", "x consortium", "except as contained in this notice the name of the x consortium shall not be used"),
+    ("x11", "x consortium", "x window system is a trademark of x consortium"),
+    ("isc", "purpose with or without fee", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims all warranties", "the author disclaims all warranties with regard to this software including all implied warranties"),
+    ("0bsd", "purpose with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary", "redistributions in binary form must reproduce the above copyright notice"),
     ("bsd-3-clause", "endorse or promote", "may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display"),
+    ("bsd-2-clause", "freebsd project", "policies either expressed or implied of the freebsd project"),
+    ("bsd-3-clause-clear", "patent rights", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-source-code", "source code must", "redistributions of source code must retain the above copyright notice and this license"),
     ("apache-2", "this file except", "you may not use this file except in compliance with the license"),
+    ("apache-2", "apache org licenses", "you may obtain a copy of the license at (?:http|https) www apache org licenses license 2 0"),
+    ("apache-2", "conditions of any kind", "distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache-2", "contributor license agreements", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation"),
+    ("apache-1.0", "apache group", "this product includes software developed by the apache group"),
+    ("apache-2-llvm", "llvm exceptions", "(?:apache license v2 0|under the apache license) with llvm exceptions"),
     ("gpl", "free software", "this program is free software you can redistribute it and or modify it"),
+    ("gpl", "free software", "is free software (?:you can redistribute it|and comes with absolutely no warranty)"),
+    ("gpl", "received a copy", "you should have received a copy of the gnu general public license"),
+    ("gpl", "merchantability or fitness", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
     ("gpl-3", "version 3", "either version 3 of the license or at your option any later version"),
+    ("gpl-3", "version 3", "gnu general public license as published by the free software foundation (?:either )?version 3"),
     ("gpl-2", "version 2", "either version 2 of the license or at your option any later version"),
+    ("gpl-2", "version 2", "gnu general public license as published by the free software foundation (?:either )?version 2"),
+    ("gpl-2-only", "version 2", "(?:version 2 of the license as published by the free software foundation|version 2 only)"),
+    ("gpl-1", "version 1", "either version 1 or at your option any later version"),
+    ("gpl-classpath", "classpath exception", "(?:gpl|general public license).{0,40}? with (?:the )?classpath exception"),
+    ("gpl-classpath", "linking this library", "linking this library statically or dynamically with other modules is making a combined work"),
+    ("gpl-autoconf", "configuration script", "as a special exception to the gnu general public license if you distribute this file as part of a program that contains a configuration script"),
+    ("gpl-bison", "bison", "as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gpl-font", "font", "as a special exception if you create a document which uses this font"),
+    ("gpl-gcc", "runtime library", "gcc runtime library exception(?: version 3 1)?"),
+    ("lgpl", "lesser general", "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", "library general", "gnu library general public license"),
+    ("lgpl-2.1", "lesser general", "gnu lesser general public license as published by the free software foundation (?:either )?version 2 1"),
+    ("lgpl-3", "lesser general", "gnu lesser general public license as published by the free software foundation (?:either )?version 3"),
+    ("lgpl-2", "library general", "gnu library general public license as published by the free software foundation (?:either )?version 2"),
+    ("agpl-3", "affero", "gnu affero general public license as published by the free software foundation (?:either )?version 3"),
+    ("agpl-3", "affero", "you should have received a copy of the gnu affero general public license"),
+    ("agpl-3", "interact", "users interacting with it remotely through a computer network"),
+    ("fdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("fdl", "invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "mozilla org mpl", "you can obtain one at (?:http|https) (?:www )?mozilla org mpl 2 0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", "mozilla", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("mpl-2-no-copyleft", "secondary licenses", "this source code form is incompatible with secondary licenses"),
+    ("npl-1.1", "netscape", "the contents of this file are subject to the netscape public license"),
+    ("epl-1", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0"),
+    ("cpl-1", "common public", "common public license(?: version| v)?(?: 1)?(?: 0)?"),
+    ("ipl-1", "ibm public", "ibm public license(?: version| v)?(?: 1)?(?: 0)?"),
+    ("edl-1", "eclipse distribution", "eclipse distribution license(?: version| v)?(?: 1)?(?: 0)?"),
+    ("cddl", "development and distribution", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("spl-1", "sun public", "sun public license(?: version| v)?(?: 1)?(?: 0)?"),
+    ("sissl", "industry standards", "sun industry standards source license"),
+    ("apsl-2", "apple public", "apple public source license(?: version| v)?(?: 2)?(?: 0)?"),
+    ("zlib", "origin of this software", "the origin of this software must not be misrepresented"),
+    ("zlib", "altered source", "altered source versions must be plainly marked as such"),
+    ("boost-1", "boost", "distributed under the boost software license version 1 0"),
+    ("boost-1", "person or organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "unlicense org", "please refer to (?:http|https) unlicense org"),
+    ("wtfpl", "do what the", "do what the fuck you want to public license"),
+    ("beerware", "beer", "(?:the )?beer ?ware license"),
+    ("beerware", "beer", "you can buy me a beer in return"),
+    ("artistic-1", "artistic", "artistic license(?: version)? 1(?: 0)?"),
+    ("artistic-1-perl", "perl itself", "under the same terms as perl itself"),
+    ("artistic-2", "perl foundation", "the artistic license 2 0 copyright c 2000 2006 the perl foundation"),
+    ("ruby", "ruby", "(?:under )?(?:the )?(?:same )?(?:terms as ruby|ruby license|ruby s license)"),
+    ("php-3.01", "php", "php license(?: version| v)?(?: 3)?(?: 0)?1?"),
+    ("php-3.01", "php", "this product includes php software freely available from"),
+    ("python-2", "python software foundation", "this license agreement is between the python software foundation psf and the individual or organization"),
+    ("python-cnri", "cnri", "cnri open source license agreement"),
+    ("zpl-2.1", "zope", "zope public license(?: version| v)?(?: 2)?(?: [01])?"),
+    ("openssl", "openssl toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "eric young", "this product includes cryptographic software written by eric young"),
+    ("curl", "curl", "(?:curl license|licensed under (?:the )?curl)"),
+    ("icu", "icu", "icu license"),
+    ("unicode", "unicode", "unicode inc license agreement data files and software"),
+    ("unicode-3", "unicode", "unicode license v3"),
+    ("ncsa", "illinois", "university of illinois ncsa open source license"),
+    ("w3c", "w3c", "w3c software (?:notice and license|and document license|and document notice and license)"),
+    ("hpnd", "historical permission", "historical permission notice and disclaimer"),
+    ("ntp", "purpose with or without fee", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("libpng", "png reference library", "png reference library license(?: version 2)?"),
+    ("ijg", "independent jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", "(?:the )?freetype (?:project )?license"),
+    ("imagemagick", "imagemagick", "imagemagick license"),
+    ("vim", "vim", "vim license"),
+    ("tcl", "tcl", "(?:tcl tk license|tcl license)"),
+    ("sqlite-blessing", "blessing", "the author disclaims copyright to this source code in place of a legal notice here is a blessing"),
+    ("json", "good not evil", "the software shall be used for good not evil"),
+    ("afl-3", "academic free", "academic free license(?: version| v)?(?: 3)?(?: 0)?"),
+    ("osl-3", "open software license", "open software license(?: version| v)?(?: 3)?(?: 0)?"),
+    ("cecill-2.1", "cecill", "cecill (?:free software )?license(?: agreement)?(?: version)?(?: 2)?(?: [01])?"),
+    ("cecill-b", "cecill", "cecill b(?: free software license agreement)?"),
+    ("cecill-c", "cecill", "cecill c(?: free software license agreement)?"),
+    ("eupl", "eupl", "licensed under the eupl version 1 [12]"),
+    ("mulan-psl-2", "mulan", "mulan (?:permissive software license|psl)(?: v2)?"),
+    ("ms-pl", "microsoft", "microsoft public license ms pl"),
+    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal license"),
+    ("ms-lpl", "limited public", "microsoft limited public license"),
+    ("ofl-1.1", "font software", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "reserved font name", "with reserved font name"),
+    ("ubuntu-font", "ubuntu font", "ubuntu font licen[cs]e"),
+    ("bitstream-vera", "bitstream vera", "bitstream vera is a trademark of bitstream"),
+    ("odbl", "open data commons", "open data commons open database license"),
+    ("odc-by", "open data commons", "open data commons attribution license"),
+    ("pddl", "open data commons", "open data commons public domain dedication and licen[cs]e"),
+    ("cdla-permissive", "community data", "community data license agreement permissive"),
+    ("cdla-sharing", "community data", "community data license agreement sharing"),
+    ("ogl-uk", "open government", "(?:contains public sector information licensed under the )?open government licen[cs]e(?: v3 0)?"),
+    ("etalab-2", "etalab", "(?:licence ouverte|open licence) etalab"),
+    ("gfdl-wiki", "attribution sharealike", "text is available under the creative commons attribution sharealike license additional terms may apply"),
+    ("cc0", "no rights reserved", "cc0 no rights reserved"),
+    ("cc0", "waived all copyright", "waived all copyright and related or neighboring rights"),
+    ("cc0", "creativecommons org publicdomain", "creativecommons org publicdomain zero 1 0"),
+    ("cc-by", "creativecommons org licenses", "creativecommons org licenses by [1234] [05]"),
+    ("cc-by-sa", "creativecommons org licenses", "creativecommons org licenses by sa [1234] [05]"),
+    ("cc-by-nd", "creativecommons org licenses", "creativecommons org licenses by nd [1234] [05]"),
+    ("cc-by-nc", "creativecommons org licenses", "creativecommons org licenses by nc [1234] [05]"),
+    ("cc-by-nc-sa", "creativecommons org licenses", "creativecommons org licenses by nc sa [1234] [05]"),
+    ("cc-by-nc-nd", "creativecommons org licenses", "creativecommons org licenses by nc nd [1234] [05]"),
+    ("cc-by", "some rights reserved", "some rights reserved creative commons"),
+    ("openrail", "responsible ai", "(?:creativeml )?open responsible ai license"),
+    ("openrail", "openrail", "(?:bigscience |creativeml |bigcode )?openrail(?: m| plus)?(?: license)?"),
+    ("llama", "llama", "llama (?:2|3|3 1|3 2) community license(?: agreement)?"),
+    ("gemma", "gemma", "gemma terms of use"),
+    ("busl-1.1", "business source", "business source license(?: 1 1)?"),
+    ("sspl-1", "server side public", "server side public license(?: version 1| v1)?"),
+    ("elastic-2", "elastic license", "elastic license(?: 2 0| v2)?"),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|strict|shield|perimeter) license"),
+    ("commons-clause", "commons clause", "commons clause license condition(?: v1 0)?"),
+    ("confluent", "confluent", "confluent community license"),
+    ("timescale", "timescale", "timescale license agreement"),
     ("public-domain", "public domain", "(?:is|are|placed|released) (?:in|into) the public domain"),
+    ("public-domain", "public domain", "dedicate(?:s|d)? (?:any and all copyright interest|this work|it) .{0,40}?to the public domain"),
+    ("public-domain", "united states government", "this (?:work|software) is a work of the united states government"),
+    ("public-domain", "no copyright", "no copyright (?:is claimed|protection)"),
     ("proprietary", "rights reserved", "all rights reserved"),
     ("proprietary", "confidential", "proprietary and confidential"),
+    ("proprietary", "confidential", "confidential and proprietary(?: information)?"),
+    ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|material|document)"),
+    ("proprietary", "written permission", "without (?:the )?(?:prior|express) written permission"),
+    ("proprietary", "written consent", "without (?:the )?(?:prior|express) written consent"),
+    ("proprietary", "trade secret", "contains (?:valuable )?trade secrets"),
+    ("proprietary", "end user license", "end user license agreement"),
+    ("proprietary", "may not be reproduced", "may not be reproduced (?:distributed )?(?:or )?(?:transmitted )?in any form"),
+    ("commercial", "commercial license", "(?:a )?commercial license (?:is required|must be|may be|can be)"),
+    ("commercial", "licensed not sold", "(?:the )?software is licensed not sold"),
+    ("non-commercial", "commercial", "for non ?commercial (?:use|purposes|research) only"),
+    ("non-commercial", "for personal", "for personal (?:and )?non ?commercial use"),
+    ("research-only", "research", "for (?:academic )?research (?:use|purposes) only"),
+    ("evaluation", "evaluation", "for evaluation purposes only"),
+    ("freeware", "freeware", "this (?:software|program) is freeware"),
+    ("shareware", "shareware", "this (?:software|program) is shareware"),
+    ("dual", "dual licensed", "(?:is )?dual licensed under"),
 )
 
 #: Whatever a rule or phrase matches holds one of these.
-GATE = "licen spdx under subject governed accordance compliance hereby redistribution endorse software version unencumbered domain reserved confidential cc".split()
+GATE = """licen spdx under subject governed accordance compliance hereby redistribution endorse software version unencumbered domain
+reserved confidential cc merchantability interacting invariant misrepresented marked cryptographic blessing evil beer perl trademark
+permission x consortium jpeg advertising copyright rights unauthorized consent secrets reproduced commercial research evaluation program
+work creativecommons openrail gemma etalab redistributions combined portions liable basis font policies disclaim restriction ruby cecill
+historical mozilla apache sectoral mulan php without""".split()
 
 
 @dataclass(frozen=True)
@@ -133,7 +294,7 @@ class Rule:
 
 def ruled() -> list[Rule]:
     """All rules in order: every form of every family, then the sentences; a bare name must say "license" itself."""
-    out = [(label, word, priority, sure, form.replace("{}", name)) for priority, sure, form in FORMS for label, word, name in FAMILIES if form != "{}" or " license" in name]
+    out = [(label, word, priority, sure, form.replace("{}", name)) for priority, sure, form in FORMS for label, word, name in FAMILIES if form != "{}" or " license" in name.split("(")[0]]
     out += [(label, word, 1, 0.98, text) for label, word, text in SENTENCES]
     return [Rule(i, *x) for i, x in enumerate(out)]
 
@@ -153,9 +314,12 @@ def literal(text: str) -> str:
 
 
 def table_of(rules: list[Rule]) -> Column:
-    """The rules as one constant array of structs."""
-    rows = (f"struct({r.number} as number, {literal(r.label)} as label, {literal(r.keyword)} as keyword, {r.priority} as priority, {r.confidence}D as confidence, {literal(f' ({r.pattern})(?= )')} as pattern)" for r in rules)
-    return F.expr(f"array({', '.join(rows)})")
+    """The rules by keyword as one constant array: a text's keywords are looked for once, whatever the number of their rules."""
+    by: dict[str, list[Rule]] = {}
+    for r in rules:
+        by.setdefault(r.keyword, []).append(r)
+    rows = lambda rs: ", ".join(f"struct({r.number} as number, {literal(r.label)} as label, {r.priority} as priority, {r.confidence}D as confidence, {literal(f' ({r.pattern})(?= )')} as pattern)" for r in rs)
+    return F.expr("array(" + ", ".join(f"struct({literal(k)} as keyword, array({rows(rs)}) as rules)" for k, rs in by.items()) + ")")
 
 
 def scanned(documents: DataFrame) -> DataFrame:
@@ -183,7 +347,7 @@ def scanned(documents: DataFrame) -> DataFrame:
     tests = [F.when(F.col("joined").contains(f" {phrase} "), found).otherwise(F.expr("cast(array() as array<struct<first:int,label:string>>)")) for (phrase, _), found in zip(BASE.items(), base, strict=True)]
     rows = rows.withColumn("base", F.when(F.col("joined").isNotNull(), F.concat(*tests)))
 
-    active = F.filter(table_of(ruled()), lambda r: F.col("joined").contains(r["keyword"]))
+    active = F.flatten(F.transform(F.filter(table_of(ruled()), lambda k: F.col("joined").contains(k["keyword"])), lambda k: k["rules"]))
     hits = F.flatten(F.transform(active, lambda r: F.transform(places(F.col("joined"), r["pattern"]), lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), r["number"].alias("number")))))
     rows = rows.withColumn("hits", F.when(F.col("joined").isNotNull(), hits))
 
@@ -205,15 +369,3 @@ def scanned(documents: DataFrame) -> DataFrame:
         F.array_join(base_labels, ",").alias("base_labels"), F.array_join(F.sort_array(F.array_distinct(F.concat(base_labels, own))), ",").alias("labels"),
         F.greatest(sure, F.when(F.size(base_labels) > 0, 0.9).otherwise(0.0)).alias("score"), "detections",
     )
-
-
-def brute(text: str | None) -> tuple[list[tuple[int, int, str, int, float, int]], list[tuple[int, str]], int]:
-    """The same by plain Python, for tests: detections, base places, number of words."""
-    lowered = (text or "").translate({i: i + 32 for i in range(65, 91)})
-    words = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered) if w]
-    joined = " " + " ".join(words) + " "
-    hits = [(joined[: m.start()].count(" "), joined[: m.end()].count(" ") - 1, r.label, r.priority, r.confidence, r.number) for r in ruled() if r.keyword in joined for m in re.finditer(f" ({r.pattern})(?= )", joined)]
-    wins = lambda e, d: (e[3], -(e[1] - e[0]), e[5]) < (d[3], -(d[1] - d[0]), d[5])
-    left = [d for d in hits if not any(e[0] <= d[0] and e[1] >= d[1] and wins(e, d) for e in hits)]
-    base = [(i, label) for phrase, label in BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
-    return left, base, len(words)
