@@ -158,6 +158,14 @@ CLAUSE_WORDS = (
     r"что|чтобы|если|когда|в\s+случае|за\s+исключением|кроме|порядке|соответствии"
 )
 
+#: Control words of RTF: groups that hold no text of the document, words that break a line, words that are a blank.
+RTF_SERVICE = """
+fonttbl colortbl stylesheet info pict object header footer footnote fldinst xmlnstbl listtable
+listoverridetable rsidtbl generator themedata colorschememapping latentstyles datastore filetbl revtbl xfld
+""".split()
+RTF_BREAKS = "par line pard sect page".split()
+RTF_BLANKS = "tab cell row nestcell nestrow".split()
+
 #: Characters that a text may have.
 MOST_CHARS = 2_000_000
 

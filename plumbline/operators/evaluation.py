@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as lex
-from plumbline.functions import text as tx
 from plumbline.operators import calibration as cal
 from plumbline.operators import metrics as mt
 from plumbline.operators import shaping as sh
@@ -239,10 +238,3 @@ def hash_parts(rows: DataFrame, key: str, n: int, dev: int, seed: str = "42") ->
     head = first.orderBy(hash_key(f"{seed}:split", F.col(key)), key).limit(dev).select(key, F.lit("dev").alias("p1"))
     parts = first.join(head, key, "left").select(key, F.coalesce("p1", F.lit("test")).alias("p"))
     return rows.join(parts, key, "left").withColumn("part", F.coalesce("p", F.lit("background"))).drop("p")
-
-
-def sentence_context(pairs_of_sentence: DataFrame, reach: int = 1, most: int = 1600) -> DataFrame:
-    """(doc_id, idx, context): each sentence (doc_id, idx, text) with its neighbours, cut from the left to `most` characters."""
-    w = W.partitionBy("doc_id").orderBy("idx").rowsBetween(-reach, reach)
-    joined = F.concat_ws("", F.collect_list("text").over(w))
-    return pairs_of_sentence.select("doc_id", "idx", F.right(joined, F.lit(most)).alias("context")).withColumn("context", F.btrim("context", F.lit(tx.BLANKS)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as lex
 from plumbline.functions import text as tx
+from plumbline.operators import corpus
 from plumbline.operators import evaluation as ev
 from plumbline.operators import features as ft
 from plumbline.operators import metrics as mt
@@ -205,7 +206,7 @@ def mode_quotas(spark, sf):
     return spark.createDataFrame(rows, "target int, mode string, n int")
 
 
-@query(f"WITH s0 AS (SELECT doc_id, {SENTENCES.format('text')} AS ss FROM documents), s AS (SELECT doc_id, unnest(ss) AS text, generate_subscripts(ss, 1) - 1 AS idx FROM s0), k AS (SELECT * FROM s WHERE trim(text, {BLANKS}) <> '') SELECT doc_id, idx::BIGINT AS idx, trim(right(string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 300), {BLANKS}) AS context FROM k")
+@query(f"WITH s0 AS (SELECT doc_id, {SENTENCES.format('text')} AS ss FROM documents), s AS (SELECT doc_id, unnest(ss) AS text, generate_subscripts(ss, 1) - 1 AS idx FROM s0), k AS (SELECT * FROM s WHERE trim(text, {BLANKS}) <> '') SELECT doc_id, idx::BIGINT AS idx, right(string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 300) AS context FROM k")
 def sentence_contexts(spark, sf):
     rows = tx.sentences(table(spark, sf, "documents"), ["doc_id"], "text").select("doc_id", "idx", "text")
-    return ev.sentence_context(rows, 1, 300).withColumn("idx", F.col("idx").cast("long"))
+    return corpus.neighbourhood(rows, "doc_id", 300).select("doc_id", F.col("idx").cast("long"), F.col("around").alias("context"))
