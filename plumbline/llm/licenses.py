@@ -11,8 +11,6 @@ positions in the split string. A detection is dropped if another of better prior
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -274,12 +272,15 @@ SENTENCES = (
     ("dual", "dual licensed", "(?:is )?dual licensed under"),
 )
 
-#: Whatever a rule or phrase matches holds one of these.
-GATE = """licen spdx under subject governed accordance compliance hereby redistribution endorse software version unencumbered domain
-reserved confidential cc merchantability interacting invariant misrepresented marked cryptographic blessing evil beer perl trademark
-permission x consortium jpeg advertising copyright rights unauthorized consent secrets reproduced commercial research evaluation program
-work creativecommons openrail gemma etalab redistributions combined portions liable basis font policies disclaim restriction ruby cecill
-historical mozilla apache sectoral mulan php without""".split()
+#: Whatever a rule or phrase matches holds one of these words.
+GATE = """
+license licence licensed licenses licences spdx under subject governed accordance compliance hereby redistribution
+redistributions endorse software version unencumbered domain reserved confidential cc merchantability interacting
+invariant misrepresented marked cryptographic blessing evil beer perl trademark permission x consortium jpeg
+advertising copyright rights unauthorized consent secrets reproduced commercial noncommercial research evaluation
+program work creativecommons openrail gemma etalab combined portions liable basis font policies disclaims
+restriction ruby cecill historical mozilla apache mulan php without public exception unlicense
+""".split()
 
 
 @dataclass(frozen=True)
@@ -335,10 +336,10 @@ def scanned(documents: DataFrame) -> DataFrame:
     blank texts have no words. Null ids and repeated rows are rows like others; other
     columns are not read."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pieces = F.split("text", BETWEEN)
-    size = F.size(pieces) - (F.element_at(pieces, 1) == "").cast("int") - (F.element_at(pieces, -1) == "").cast("int")
-    words = F.filter(F.split(ascii_lower(F.col("text")), BETWEEN), lambda w: w != "")
-    rows = rows.select("doc_id", F.greatest(size, F.lit(0)).cast("long").alias("n_words"), F.when(reduce(or_, (F.lower("text").contains(k) for k in GATE)), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).alias("joined"))
+    rows = rows.withColumn("words", F.array_remove(F.split(F.lower("text"), BETWEEN), ""))
+    own = F.array_remove(F.split(ascii_lower(F.col("text")), BETWEEN), "")
+    may = F.arrays_overlap("words", F.array(*map(F.lit, GATE)))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(may, F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))).alias("joined"))
 
     def labelled(label: str):
         return lambda p: F.struct(p["first"].alias("first"), F.lit(label).alias("label"))
