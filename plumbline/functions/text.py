@@ -43,6 +43,19 @@ def placed(rows: DataFrame, keys: list[str], pieces: Column, lead: Column) -> Da
     return out.select(*keys, "idx", "text", (F.col("end") - F.length("text")).alias("start"), "end")
 
 
+def located(text: Column, pattern: str, wanted) -> Column:
+    """Array of (at, text) of the pieces that are wanted (a test of a piece's text); the pattern cuts all of a text into pieces, at is the offset."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
+    found = "array<struct<at:int,text:string>>"
+    state = lambda at, held: F.struct(at.cast("int").alias("at"), held.cast(found).alias("found"))
+
+    def step(a: Column, p: Column) -> Column:
+        own = F.array(F.struct(a["at"].alias("at"), p.alias("text")))
+        return state(a["at"] + F.length(p), F.when(wanted(p), F.concat(a["found"], own)).otherwise(a["found"]))
+
+    return F.aggregate(pieces, state(F.lit(0), F.array()), step, lambda a: a["found"])
+
+
 def tokens(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Tokens of a text column with offsets; the blanks after a token are part of it."""
     return placed(rows, keys, token_array(F.col(column)), lead_length(F.col(column)))

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import lexicon as lex
 from plumbline.functions import text as tx
 
 
+#: Characters of a part of a long segment, and those that neighbouring parts share.
+LONG, SHARED = 1026, 100
+RANGES = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+SENTENCE_END = re.compile(r"(?<=[.!?…])[ \t]+(?=[«\"(]?[A-ZА-ЯЁ0-9])")
+BLANK = re.compile(" ")
+
+
 def packed(lengths: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
     """Half-open ranges of sentences with most characters at most; each starts `overlap` sentences before the last one's end."""
     out, start, n = [], 0, len(lengths)
@@ -75,3 +85,53 @@ def recall(top: DataFrame, gold: DataFrame, key: str, ks: tuple[int, ...] = (1,
     first = gold.join(top, [key, "passage"], "left").groupBy(key).agg(F.min("rank").alias("rank"))
     each = first.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     return each.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("rank") <= F.col("k"), 1.0).otherwise(0.0)).alias("recall"))
+
+
+def line_paragraphs(documents: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, idx, text, start, end): what stands between line ends (blank lines as one); blank paragraphs are left out."""
+    pieces = F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(r"(\n\s*\n|\n|[^\n]+)"), F.lit(1))
+    found = tx.placed(documents.select(key, column), [key], pieces, F.lit(0))
+    return found.where(F.btrim("text", F.lit(tx.BLANKS)) != "")
+
+
+def cut_at(size: int, ends: list[int], blanks: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """Half-open parts of a long text: of at most `most` characters, to the last sentence end (or else the last blank of the second half) in it, each `overlap` characters into the one before."""
+    if size <= most:
+        return [(0, size)]
+    out, at = [], 0
+    while at < size:
+        end = min(at + most, size)
+        if end < size:
+            inside = bisect_right(ends, end - 1)
+            if inside and ends[inside - 1] > at:
+                end = ends[inside - 1]
+            else:
+                last = bisect_right(blanks, end - 1)
+                if last and blanks[last - 1] > max(at, at + most // 2 - 1):
+                    end = blanks[last - 1]
+        out.append((at, end))
+        if end >= size:
+            break
+        at = max(end - overlap, at + 1)
+    return out
+
+
+@F.pandas_udf(RANGES)
+def _parts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda t: [{"a": a, "b": b} for a, b in cut_at(len(t), [m.end() for m in SENTENCE_END.finditer(t)], [m.start() for m in BLANK.finditer(t)], LONG, SHARED)])
+
+
+def long_parts(segments: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, part, start, end): segments of more than LONG characters in parts that share SHARED; where one is cut depends on the cut before, so it runs text by text."""
+    rows = segments.select(key, F.posexplode(_parts(F.coalesce(F.col(column), F.lit("")))).alias("part", "r"))
+    return rows.select(key, "part", F.col("r.a").alias("start"), F.col("r.b").alias("end"))
+
+
+def claim_passages(claims: DataFrame, passages: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """(key, passage): the passages that are among the first k for any of the claims (key, claim, query) of a key, once each."""
+    asked = claims.select(F.struct(key, "claim").alias("q"), key, F.col("query"))
+    spread = asked.join(passages, key).select("q", "passage", "text")
+    scores = bm25(asked.select("q", "query"), spread, "q")
+    top = top_passages(scores, "q", k)
+    return top.select(F.col(f"q.{key}").alias(key), "passage").distinct()

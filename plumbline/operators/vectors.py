@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Weights of a hashed vector: the word itself, its trigrams, its neighbours.
+OWN, GRAM, BESIDE = 1.0, 0.35, 0.25
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda x, y: x + y)
@@ -66,3 +71,40 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> D
 def density(neighbours: DataFrame) -> DataFrame:
     """(query_id, density): mean cosine of the neighbours."""
     return neighbours.groupBy("query_id").agg(F.avg("cosine").alias("density"))
+
+
+def hashed_index(feature: str, dim: int) -> int:
+    """A feature's place in a hashed vector, the same on every machine."""
+    return int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "big") % dim
+
+
+def hashed(word: str, before: str | None, after: str | None, dim: int) -> dict[int, float]:
+    """The word, its character trigrams and its neighbours as a sparse vector of length one."""
+    plain = lambda w: w.lower().replace("ё", "е")
+    padded = f"^{plain(word)}$"
+    grams = [padded[i : i + 3] for i in range(max(1, len(padded) - 2))]
+    out: dict[int, float] = {}
+    parts = [("w:" + plain(word), OWN)] + [("g:" + g, GRAM / len(grams) ** 0.5) for g in grams] + [(p + plain(w), BESIDE) for p, w in (("p:", before), ("n:", after)) if w]
+    for name, weight in parts:
+        at = hashed_index(name, dim)
+        out[at] = out.get(at, 0.0) + weight
+    norm = sum(v * v for v in out.values()) ** 0.5
+    return {k: v / norm for k, v in out.items()}
+
+
+def hashed_vectors(words: DataFrame, key: str, order: str, dim: int = 4096) -> DataFrame:
+    """words (key, order, word) with vector, a map of place to weight."""
+    w = W.partitionBy(key).orderBy(order)
+    rows = words.withColumn("w_before", F.lag("word").over(w)).withColumn("w_after", F.lead("word").over(w))
+
+    @F.pandas_udf("map<int,double>")
+    def build(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([hashed(x, y, z, dim) for x, y, z in zip(a, b, c, strict=True)])
+
+    return rows.withColumn("vector", build("word", "w_before", "w_after")).drop("w_before", "w_after")
+
+
+def sparse_cosine(a: Column, b: Column) -> Column:
+    """The product of two vectors of length one given as maps."""
+    both = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    return F.aggregate(both, F.lit(0.0), lambda n, k: n + F.element_at(a, k) * F.element_at(b, k))

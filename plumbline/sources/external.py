@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import text as tx
 
@@ -77,7 +78,7 @@ def joined_documents(documents: Column) -> Column:
     return F.btrim(F.array_join(parts, ""), F.lit(tx.BLANKS))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def documents_of_literal(raw: pd.Series) -> pd.Series:
     """The doc_text fields of a list of dicts written as a Python literal, which no JSON parser reads."""
 

@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field, fields
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import lexicon as lex
 from plumbline.operators import corpus
@@ -126,7 +127,7 @@ def plain_of_rtf(source: str | None) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rtf_text(source: pd.Series) -> pd.Series:
     return source.map(plain_of_rtf)
 

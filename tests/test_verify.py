@@ -64,3 +64,12 @@ def test_units_dates_and_coverage(spark):
     assert row.select(normalize.normalized_units(F.col("t"))).first()[0].startswith("срок 5 год, 10 процент")
     got = {r["value"]: r["status"] for r in coverage.coverage(pairs(spark, "Архив хранит отчёты 5 лет.", context="Архив хранит отчёты ровно 5 лет. Склад держит запасы масла около 30 дней.")).collect()}
     assert got["5 лет"] == "mentioned" and got["30 дней"] == "irrelevant"
+
+
+def test_the_entry_needs_no_session_to_be_imported():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 150"], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
