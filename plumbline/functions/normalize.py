@@ -96,12 +96,12 @@ def normalized_numbers(text: Column) -> Column:
 
 
 def stemmed(word: Column) -> Column:
-    """The word in lower case, ё as е, without the first ending of the list that leaves three letters; words of four letters stay."""
+    """The word in lower case, ё as е, without the first ending of the list that leaves three letters; words of four letters stay.
+
+    The list goes from long to short, so the first is the longest: what the shortest
+    beginning of three letters or more leaves."""
     low = F.translate(F.lower(word), "ё", "е")
-    out = F.when(F.length(low) <= 4, low)
-    for ending in lex.ENDINGS:
-        out = out.when(F.endswith(low, F.lit(ending)) & (F.length(low) - len(ending) >= 3), F.left(low, F.length(low) - len(ending)))
-    return out.otherwise(low)
+    return F.when(F.length(low) <= 4, low).otherwise(F.regexp_replace(low, f"^(.{{3,}}?)(?:{'|'.join(lex.ENDINGS)})$", "$1"))
 
 
 def stems_of(text: Column) -> Column:

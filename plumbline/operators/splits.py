@@ -36,10 +36,21 @@ def ratio_split(rows: DataFrame, group: str, parts: dict[str, float], seed: str
     return rows.join(counts.select(group, choice.otherwise(names[-1]).alias("split")), group)
 
 
+def ranked(rows: DataFrame, key: str, seed: str = "42") -> DataFrame:
+    """Adds rank: the place of a row, from 0, in hash order of the key (then the key).
+
+    A task orders the rows of one bucket of hashes; the counts of the buckets before it
+    give where they start, so no task orders all rows."""
+    named = rows.withColumn("order_hash", hash_key(seed, F.col(key))).withColumn("order_bucket", F.substring("order_hash", 1, 3))
+    sizes = named.groupBy("order_bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("order_bucket", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("order_bucket")) - F.col("n")).alias("start_rank"))  # 4096 buckets at most
+    inside = F.row_number().over(W.partitionBy("order_bucket").orderBy("order_hash", key)) - 1
+    return named.join(F.broadcast(starts), "order_bucket").withColumn("rank", F.col("start_rank") + inside).drop("order_hash", "order_bucket", "start_rank")
+
+
 def round_robin(rows: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     """Adds slot: 0..n-1 in turn, in hash order of the key."""
-    w = W.partitionBy(F.lit(0)).orderBy(hash_key(seed, F.col(key)), key)
-    return rows.withColumn("slot", F.pmod(F.row_number().over(w) - 1, F.lit(n)).cast("int"))
+    return ranked(rows, key, seed).withColumn("slot", F.pmod("rank", F.lit(n)).cast("int")).drop("rank")
 
 
 def shared_groups(rows: DataFrame, group: str, split: str) -> DataFrame:
