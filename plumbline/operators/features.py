@@ -1,11 +1,15 @@
 """Lexical support of answer tokens by their context.
 
-Comparisons run over distinct words of a pair, joined by shared character grams, and
-counts stand for repeated words; so a long context costs its vocabulary, not its
-length times the answer's."""
+Comparisons run over distinct words of a pair that share character grams, and counts
+stand for repeated words; so a long context costs its vocabulary, not its length times
+the answer's."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,27 +19,85 @@ from plumbline.functions import text as tx
 
 
 def vocabulary(pairs: DataFrame, column: str) -> DataFrame:
-    """(pair_id, word, n, stem, grams): distinct content words of a text column with their counts."""
+    """(pair_id, word, n, stem): distinct content words of a text column with their counts."""
     words = pairs.select("pair_id", F.explode(tx.token_array(F.col(column))).alias("token")).where(tx.is_content(F.col("token")))
     words = words.groupBy("pair_id", tx.plain(F.col("token")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    return words.withColumn("stem", tx.stem(F.col("word"))).withColumn("grams", tx.grams(F.col("word")))
+    return words.withColumn("stem", tx.stem(F.col("word")))
+
+
+#: Cells of the table of answer by context words that a task holds at once.
+CELLS = 1 << 22
+
+
+class Grams(dict):
+    """Word -> numbers of its distinct character trigrams; emptied when it holds too many words."""
+
+    MOST = 200_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.numbers: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) >= self.MOST:
+            self.clear()
+        padded = f"^{word}$"
+        found = {padded[i : i + 3] for i in range(max(1, len(padded) - 2))} if word else set()
+        out = self[word] = np.fromiter((self.numbers.setdefault(g, len(self.numbers)) for g in found), np.int64, len(found))
+        return out
+
+
+def most_alike(grams: Grams, asked: list[str], known: list[str], counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked word its best Jaccard similarity to a known one, and the mean of its k best, repeats counted."""
+    best, mean = np.zeros(len(asked)), np.zeros(len(asked))
+    if not known:
+        return best, mean
+    held = [grams[w] for w in known]
+    size = np.array([len(g) for g in held])
+    flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    wanted = min(k, int(counts.sum()))
+    block = max(1, CELLS // len(known))
+    for at in range(0, len(asked), block):
+        own = [grams[w] for w in asked[at : at + block]]
+        mine = np.array([len(g) for g in own])
+        ask = np.concatenate(own)
+        row = np.repeat(np.arange(len(own)), mine)
+        first, last = np.searchsorted(flat, ask), np.searchsorted(flat, ask, side="right")
+        n = last - first
+        places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(np.repeat(row, n) * len(known) + owner[places], minlength=len(own) * len(known)).reshape(len(own), -1)
+        share = both / np.maximum(1, mine[:, None] + size[None, :] - both)
+        best[at : at + block] = share.max(axis=1)
+        top = np.argpartition(-share, min(k, len(known)) - 1, axis=1)[:, :k]
+        values = np.take_along_axis(share, top, axis=1)
+        ranks = np.argsort(-values, axis=1, kind="stable")
+        values, times = np.take_along_axis(values, ranks, axis=1), counts[np.take_along_axis(top, ranks, axis=1)]
+        taken = np.clip(wanted - (np.cumsum(times, axis=1) - times), 0, times)
+        mean[at : at + block] = (values * taken).sum(axis=1) / max(1, wanted)
+    return best, mean
 
 
 def similarities(asked: DataFrame, known: DataFrame, k: int = 5) -> DataFrame:
     """(pair_id, word, max_sim, top_mean): for each distinct answer word its best gram similarity and the mean of its k best.
 
     Repeated context words count as often as they occur; with fewer than k context words
-    the mean is over those."""
-    left = asked.select("pair_id", "word", F.size("grams").alias("size_a"), F.explode("grams").alias("gram"))
-    right = known.select("pair_id", F.col("word").alias("other"), "n", F.size("grams").alias("size_b"), F.explode("grams").alias("gram"))
-    shared = left.join(right, ["pair_id", "gram"]).groupBy("pair_id", "word", "other", "n", "size_a", "size_b").agg(F.count(F.lit(1)).alias("both"))
-    shared = shared.withColumn("j", F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both")))
-    w = W.partitionBy("pair_id", "word").orderBy(F.col("j").desc(), "other")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k) - before))
-    total = known.groupBy("pair_id").agg(F.sum("n").alias("words"))
-    best = shared.withColumn("taken", taken).groupBy("pair_id", "word").agg(F.max("j").alias("max_sim"), F.sum(F.col("taken") * F.col("j")).alias("sum"))
-    return best.join(total, "pair_id").select("pair_id", "word", "max_sim", (F.col("sum") / F.greatest(F.lit(1), F.least(F.lit(k), F.col("words")))).alias("top_mean"))
+    the mean is over those. A pair's two vocabularies meet in one row, so nothing is
+    shuffled for each gram; a task holds CELLS cells of their table at once."""
+    left = asked.groupBy("pair_id").agg(F.collect_list("word").alias("asked"))
+    right = known.groupBy("pair_id").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for batch in batches:
+            for pair, words, others, counts in zip(*batch.columns, strict=True):
+                words = words.as_py()
+                best, mean = most_alike(grams, words, others.as_py(), np.array(counts.as_py(), np.int64), k)
+                yield pa.RecordBatch.from_arrays([pa.array([pair.as_py()] * len(words), pair.type), pa.array(words, pa.string()), pa.array(best), pa.array(mean)], ["pair_id", "word", "max_sim", "top_mean"])
+
+    kind = asked.schema["pair_id"].dataType.simpleString()
+    return left.join(right, "pair_id").select("pair_id", "asked", "known", "counts").mapInArrow(run, f"pair_id {kind}, word string, max_sim double, top_mean double")
 
 
 def supports(asked: DataFrame, known: DataFrame, likeness: DataFrame) -> DataFrame:
