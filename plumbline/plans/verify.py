@@ -23,21 +23,13 @@ def token_risks(pairs: DataFrame, weights: dict[str, float] | None = None) -> Da
 
 def thresholds(risks: DataFrame, z: float = lex.SPAN_Z, floor: float = lex.SPAN_FLOOR, cap: float = lex.SPAN_CAP) -> DataFrame:
     """(pair_id, n_scored, span_threshold): median + z * 1.4826 * median deviation of the scored risks, within floor and cap."""
-    scored = risks.where("scored")
-    middle = scored.groupBy("pair_id").agg(F.median("smooth").alias("m"), F.count(F.lit(1)).alias("n_scored"))
-    away = scored.join(middle, "pair_id").groupBy("pair_id", "m", "n_scored").agg(F.median(F.abs(F.col("smooth") - F.col("m"))).alias("d"))
-    value = F.greatest(F.lit(0.0), F.least(F.lit(min(0.999, cap)), F.greatest(F.col("m") + z * 1.4826 * F.col("d"), F.lit(floor))))
-    return away.select("pair_id", "n_scored", F.round(value, 12).alias("span_threshold"))
+    return spanned(risks, z, floor, cap).where("scored").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_scored"), F.max("span_threshold").alias("span_threshold"))
 
 
-def mask_spans(risks: DataFrame, limits: DataFrame) -> DataFrame:
-    """(pair_id, start, end, risk, n_tokens, n_chars): runs of neighbouring scored tokens at or above the threshold."""
-    flagged = risks.where("scored").join(limits, "pair_id").where(F.col("smooth") >= F.col("span_threshold"))
-    runs = sq.islands(flagged, "pair_id", "idx")
-    bare = F.rtrim(F.max_by("text", "idx"), F.lit(tx.BLANKS))
-    out = runs.groupBy("pair_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("raw"), F.max("smooth").alias("risk"), F.count(F.lit(1)).alias("n_tokens"), (F.length(F.max_by("text", "idx")) - F.length(bare)).alias("blank"))
-    out = out.withColumn("end", (F.col("raw") - F.col("blank")).cast("int"))
-    return out.select("pair_id", "start", "end", "risk", "n_tokens", (F.col("end") - F.col("start")).alias("n_chars"))
+def mask_spans(rows: DataFrame) -> DataFrame:
+    """(pair_id, start, end, risk, n_tokens, n_chars) of spanned() tokens: runs of neighbouring flagged ones, without the blanks at their end."""
+    out = rows.where("flagged").groupBy("pair_id", "island").agg(F.min("start").alias("start"), F.max("island_chars").alias("n_chars"), F.max("smooth").alias("risk"), F.count(F.lit(1)).alias("n_tokens"))
+    return out.select("pair_id", "start", (F.col("start") + F.col("n_chars")).cast("int").alias("end"), "risk", "n_tokens", "n_chars")
 
 
 def score_of(risks: Column) -> Column:
@@ -54,7 +46,7 @@ def answer_scores(risks: DataFrame) -> DataFrame:
 
 
 def spanned(risks: DataFrame, z: float = lex.SPAN_Z, floor: float = lex.SPAN_FLOOR, cap: float = lex.SPAN_CAP) -> DataFrame:
-    """risks with span_threshold, flagged, island and island_chars: thresholds() and mask_spans() as windows over each pair.
+    """risks with span_threshold, flagged, island and island_chars, as windows over each pair.
 
     All windows are by pair, like the smoothing before them, so tokens are shuffled once for all of it."""
     pair = W.partitionBy("pair_id")

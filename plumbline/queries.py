@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as lex
 from plumbline.functions import text as tx
-from plumbline.operators import calibration, corpus, detector, heads, metrics, retrieval, rules, sequence, spans, splits, vectors
+from plumbline.operators import calibration, corpus, heads, metrics, retrieval, rules, sequence, spans, splits, vectors
 from plumbline.operators import features as ft
 from plumbline.plans import verify as vf
 from plumbline.sources.pairs import pairs_of_conversations
@@ -238,8 +238,7 @@ def span_thresholds(spark, sf):
 
 @query(f'WITH {_FEATURES} SELECT pair_id, start::BIGINT AS start, stop::BIGINT AS "end", round(risk, 6)::DOUBLE AS risk, n_tokens::BIGINT AS n_tokens FROM spans')
 def mask_islands(spark, sf):
-    risks = vf.token_risks(pairs(spark, sf))
-    out = vf.mask_spans(risks, vf.thresholds(risks))
+    out = vf.mask_spans(vf.spanned(vf.token_risks(pairs(spark, sf))))
     return out.select("pair_id", F.col("start").cast("long"), F.col("end").cast("long"), F.round("risk", 6).alias("risk"), "n_tokens")
 
 
@@ -386,6 +385,16 @@ def rouge_l(spark, sf):
     return pairs(spark, sf).select("pair_id", F.round(rouge("context", "answer"), 6).alias("rouge"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT n_nationkey, r_regionkey, n_name AS a, r_name AS b FROM nation, region),
+    d AS (SELECT n_nationkey, r_regionkey, 0 AS i, list_transform(range(1, length(b) + 1), lambda x: 0) AS held FROM p UNION ALL
+        SELECT d.n_nationkey, d.r_regionkey, i + 1, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(held[k], CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN CASE WHEN k > 1 THEN held[k - 1] ELSE 0 END + 1 ELSE 0 END)))) FROM d JOIN p USING (n_nationkey, r_regionkey) WHERE i < length(a))
+    SELECT n_nationkey, r_regionkey, round(2 * held[length(b)] / (length(a) + length(b)), 6)::DOUBLE AS rouge FROM d JOIN p USING (n_nationkey, r_regionkey) WHERE i = length(a)""")
+def rouge_l_names(spark, sf):
+    """The names of nations and regions."""
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name").join(table(spark, sf, "region").select("r_regionkey", "r_name"), F.lit(True))
+    return rows.select("n_nationkey", "r_regionkey", F.round(F.pandas_udf(metrics.rouge_l, "double")("n_name", "r_name"), 6).alias("rouge"))
+
+
 @query(f"""WITH {PAIRS}, w AS (SELECT list_distinct(regexp_extract_all(lower(context), '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}]+')) AS b FROM pairs),
     j AS (SELECT len(list_intersect(a, b)) AS shared, len(a) + len(b) - len(list_intersect(a, b)) AS every FROM w), k AS (SELECT CASE WHEN every = 0 THEN 1 ELSE shared / every END AS s, CASE WHEN shared = every THEN 1 ELSE 0 END AS e FROM j)
     SELECT count(*)::BIGINT AS n, round(avg(e), 6)::DOUBLE AS accuracy, round(avg(s), 6)::DOUBLE AS jaccard, round(avg(1 - s), 6)::DOUBLE AS hamming FROM k""")
@@ -412,7 +421,13 @@ def bm25_top3(spark, sf):
     return top.select("pair_id", F.col("passage").cast("long"), F.round("score", 5).alias("score"), F.col("rank").cast("long"))
 
 
-@query()
+_MOST = int(lex.CHUNK_TOKENS * lex.CHARS_PER_TOKEN)
+
+
+@query(f"""WITH RECURSIVE s0 AS (SELECT doc_id, {SENTENCES.format('text')} AS ss FROM documents), s AS (SELECT doc_id, ss, len(ss) AS n, list_transform(range(1, len(ss) + 1), lambda i: list_sum(list_transform(ss[1:i], lambda x: length(x)))) AS cum FROM s0),
+    r AS (SELECT doc_id, 0 AS chunk, 0 AS a, greatest(1, len(list_filter(cum, lambda c: c <= {_MOST}))) AS b FROM s UNION ALL
+        SELECT doc_id, chunk + 1, greatest(a + 1, b - {lex.CHUNK_OVERLAP}), greatest(greatest(a + 1, b - {lex.CHUNK_OVERLAP}) + 1, len(list_filter(cum, lambda c: c - cum[greatest(a + 1, b - {lex.CHUNK_OVERLAP})] <= {_MOST}))) FROM r JOIN s USING (doc_id) WHERE b < n)
+    SELECT doc_id, chunk::BIGINT AS chunk, CASE WHEN a = 0 THEN 0 ELSE cum[a] END::BIGINT AS start, cum[b]::BIGINT AS "end", sha256(array_to_string(ss[a + 1:b], '')) AS sha FROM r JOIN s USING (doc_id)""")
 def chunk_documents(spark, sf):
     out = retrieval.chunks(table(spark, sf, "documents"), "doc_id", "text")
     return out.select("doc_id", F.col("chunk").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"), F.sha2("text", 256).alias("sha"))
@@ -546,12 +561,6 @@ def missing_numbers(spark, sf):
     return rules.missing_numbers(neighbours(spark, sf))
 
 
-@query()
-def style_scores(spark, sf):
-    out = detector.analyze(table(spark, sf, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text")
-    return out.select("id", "n_words", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"), "n_spans")
-
-
 @query()
 def weight_grid(spark, sf):
     """AUC of the weight grid's cells for telling whether a token's word occurs in the context."""

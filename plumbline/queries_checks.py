@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import cases
 from plumbline.cases import PAIRS_SQL, TEXTS_SQL
+from plumbline.functions import lexicon as lex
 from plumbline.functions import text as tx
 from plumbline.operators import checks as ck
 from plumbline.operators import corpus
@@ -13,7 +14,7 @@ from plumbline.operators import coverage as cv
 from plumbline.operators import detector, splits
 from plumbline.operators import variants as vr
 from plumbline.plans import verify as vf
-from plumbline.queries import _FEATURES, BLANKS, PAIRS, SENTENCES, pairs, query, table, tokens_sql
+from plumbline.queries import _FEATURES, BLANKS, PAIRS, SENTENCES, pairs, plain_sql, query, table, tokens_sql, words_sql
 from plumbline.queries_spans import FACTS
 from plumbline.scratch import written
 
@@ -182,3 +183,38 @@ def hash_ranks(spark, sf):
 def whole_sentences(spark, sf):
     middle = F.floor(F.length("answer") / 2).cast("int")
     return pairs(spark, sf).select("pair_id", vr.full_sentence(F.col("answer"), middle, middle + 5).alias("s")).select("pair_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+# ---- the style detector, in SQL of its own
+
+_LIKES = ", ".join(f"coalesce(CASE WHEN len(g) > 0 AND len({f}(g, {d}) OVER o) > 0 THEN len(list_intersect(g, {f}(g, {d}) OVER o)) / len(list_distinct(list_concat(g, {f}(g, {d}) OVER o))) END, 0)" for d in range(1, detector.NEIGHBOURS + 1) for f in ("lag", "lead"))
+STYLE_SQL = f"""turns AS (SELECT conv_id || '-' || turn AS id, text FROM conversations WHERE role = 'assistant'), {tokens_sql('st', '(SELECT id AS pair_id, text AS answer FROM turns)', 'pair_id', 'answer')},
+    sw AS (SELECT pair_id AS id, start, "end" AS stop, {plain_sql('text')} AS word, row_number() OVER (PARTITION BY pair_id ORDER BY idx) AS pos FROM st WHERE regexp_matches(text, '^[\\p{{L}}\\p{{N}}_]')),
+    sg AS (SELECT *, CASE WHEN word <> '' THEN list_distinct(list_transform(range(1, greatest(1, length(word)) + 1), lambda i: substr('^' || word || '$', i, 3))) ELSE [] END AS g, pos - lag(pos) OVER (PARTITION BY id, word ORDER BY pos) <= 12 AS again,
+        coalesce(stddev_pop(length(word)) OVER n, 0) / greatest(1, avg(length(word)) OVER n) AS spread FROM sw WINDOW n AS (PARTITION BY id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+    sl AS (SELECT *, list_sort([{_LIKES}], 'DESC')[1:{detector.NEIGHBOURS}] AS best FROM sg WINDOW o AS (PARTITION BY id ORDER BY pos)),
+    sr AS (SELECT *, {detector.PREDICTABILITY}::DOUBLE * least(1, 0.5::DOUBLE * CASE WHEN word IN ({words_sql([w.replace('ё', 'е') for w in lex.BOILERPLATE])}) THEN 1 ELSE 0 END + 0.2::DOUBLE * CASE WHEN again THEN 1 ELSE 0 END + 0.3::DOUBLE * greatest(0, 1 - spread)) + {detector.DENSITY}::DOUBLE * least(1, list_sum(best) / {detector.NEIGHBOURS} / {detector.DENSITY_LEVEL}::DOUBLE) AS raw, count(*) OVER (PARTITION BY id) AS n FROM sl),
+    sp AS (SELECT *, CASE WHEN n < 3 THEN raw ELSE avg(raw) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {detector.SMOOTHING // 2} PRECEDING AND {detector.SMOOTHING // 2} FOLLOWING) END AS p FROM sr)"""
+
+
+def _style_sql(threshold: float) -> str:
+    return f"""WITH {STYLE_SQL}, fl AS (SELECT id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY id ORDER BY pos) <= {detector.MERGE_GAP + 1} THEN 0 ELSE 1 END AS fresh FROM sp WHERE p >= {threshold}), rn AS (SELECT id, pos, sum(fresh) OVER (PARTITION BY id ORDER BY pos) AS run FROM fl), ru AS (SELECT id, run, count(*) AS n FROM rn GROUP BY id, run HAVING count(*) >= {detector.LEAST_TOKENS}),
+    rs AS (SELECT id, count(*) AS n_spans, sum(n) AS inside FROM ru GROUP BY id) SELECT sp.id, count(*)::BIGINT AS n_words, round(avg(p), 6)::DOUBLE AS score, round(coalesce(any_value(inside), 0) / count(*), 6)::DOUBLE AS share, coalesce(any_value(n_spans), 0)::BIGINT AS n_spans FROM sp LEFT JOIN rs USING (id) GROUP BY sp.id"""
+
+
+def _style(spark, sf, threshold: float):
+    docs = table(spark, sf, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    out = detector.analyze(docs, "id", "text", threshold)
+    return out.select("id", "n_words", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"), "n_spans")
+
+
+@query(_style_sql(detector.THRESHOLD))
+def style_scores(spark, sf):
+    """The style of every assistant turn."""
+    return _style(spark, sf, detector.THRESHOLD)
+
+
+@query(_style_sql(0.2))
+def style_shares(spark, sf):
+    """The same at a threshold low enough for spans."""
+    return _style(spark, sf, 0.2)
