@@ -19,6 +19,10 @@ class Steps:
     def at(self, x: float) -> float:
         return self.values[min(bisect.bisect_left(self.uppers, x), len(self.values) - 1)]
 
+    def at_lower(self, x: float) -> float:
+        """The value if bounds were the lower ones of their blocks, as old artifacts have them."""
+        return self.values[max(0, bisect.bisect_right(self.uppers, x) - 1)]
+
     def column(self, score: Column) -> Column:
         """The step of a score; null for null."""
         below = F.size(F.filter(F.array(*map(F.lit, self.uppers)), lambda u: u < score))
