@@ -264,10 +264,10 @@ def hysteresis_components(spark, sf):
 
 @query(f"""WITH {_FEATURES}, z AS (SELECT pair_id, idx, s FROM smooth WHERE scored), n AS (SELECT pair_id, idx, s, coalesce(lag(s) OVER o, first_value(s) OVER w) AS p1, coalesce(lag(s, 2) OVER o, first_value(s) OVER w) AS p2, coalesce(lead(s) OVER o, last_value(s) OVER w) AS n1, coalesce(lead(s, 2) OVER o, last_value(s) OVER w) AS n2
     FROM z WINDOW o AS (PARTITION BY pair_id ORDER BY idx), w AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-    SELECT pair_id, idx::BIGINT AS idx, round(p1, 6) AS smooth_previous_1, round(n2, 6) AS smooth_next_2, round(greatest(p1, p2), 6) AS smooth_left_max, round((p1 + p2 + n1 + n2) / 4, 6) AS smooth_mean, round(s - (p1 + p2 + n1 + n2) / 4, 6) AS smooth_minus_mean FROM n""")
+    SELECT pair_id, idx::BIGINT AS idx, round(p1, 6) AS smooth_previous_1, round(n2, 6) AS smooth_next_2, round(greatest(p1, p2), 6) AS smooth_left_max, round((p1 + p2 + n1 + n2) / 4, 6) AS smooth_mean, round(s - (p1 + p2 + n1 + n2) / 4, 6) + 0.0 AS smooth_minus_mean FROM n""")
 def context_features(spark, sf):
     rows = sequence.neighbour_features(vf.token_risks(pairs(spark, sf)).where("scored"), "pair_id", "idx", ["smooth"], 2)
-    return rows.select("pair_id", F.col("idx").cast("long"), *(F.round(f"smooth_{c}", 6).alias(f"smooth_{c}") for c in ("previous_1", "next_2", "left_max", "mean", "minus_mean")))
+    return rows.select("pair_id", F.col("idx").cast("long"), *((F.round(f"smooth_{c}", 6) + 0.0).alias(f"smooth_{c}") for c in ("previous_1", "next_2", "left_max", "mean", "minus_mean")))
 
 
 _STATS = ("entropy", "mass", "mass_norm", "max_sim", "density")
