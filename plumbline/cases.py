@@ -34,7 +34,7 @@ PAIRS = [
 
 
 def texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    return spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
 
 
 def pairs(spark: SparkSession) -> DataFrame:

@@ -92,7 +92,7 @@ WORD_LISTS = [(1, ["двадцать", "пять"]), (2, ["Две", "тысяч
     g AS (SELECT id, seg, bool_or(v IS NULL) AS bad, bool_or(v >= 1000) AS big, coalesce(sum(v) FILTER (v < 1000), 0) AS small FROM s GROUP BY ALL)
     SELECT l.id, CASE WHEN NOT bool_or(bad) THEN sum(CASE WHEN big THEN greatest(small, 1) * 1000 ELSE small END) END::BIGINT AS value FROM lists l LEFT JOIN g USING (id) GROUP BY l.id""")
 def words_to_number(spark, sf):
-    return spark.createDataFrame(WORD_LISTS, "id long, ws array<string>").select("id", nm.number_of_words(F.col("ws")).alias("value"))
+    return spark.createDataFrame(WORD_LISTS, "id int, ws array<string>").select("id", nm.number_of_words(F.col("ws")).alias("value"))
 
 
 @query(f"WITH {TEXTS_SQL}, {digits_sql()} SELECT id, text FROM digits")
@@ -207,7 +207,7 @@ CHUNKS = [(1, ["one", "  ", "two two", ""]), (2, ["x"]), (3, []), (4, ["\n", " l
     u AS (SELECT id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM k), p AS (SELECT *, sum(length(c) + 1) OVER (PARTITION BY id ORDER BY i) - length(c) - 1 AS place FROM u)
     SELECT k.id, array_to_string(k.cs, chr(10)) AS text, k.cs AS chunks, coalesce(list(place::INT ORDER BY i) FILTER (place IS NOT NULL), []) AS positions FROM k LEFT JOIN p USING (id) GROUP BY ALL""")
 def context_chunks(spark, sf):
-    return spark.createDataFrame(CHUNKS, "id long, cs array<string>").select("id", nm.context_of_list(F.col("cs")).alias("c")).select("id", "c.*")
+    return spark.createDataFrame(CHUNKS, "id int, cs array<string>").select("id", nm.context_of_list(F.col("cs")).alias("c")).select("id", "c.*")
 
 
 @query("SELECT doc_id, coalesce(length(text), 0) <= 500 AS fits, CASE WHEN length(text) > 500 THEN 'text: ' || length(text) || ' characters, 500 at most' END AS problem FROM documents")
@@ -220,7 +220,7 @@ _VALUES = [(1, " 1 200,50 "), (2, "7."), (3, ".5,"), (4, "12-3"), (5, "10 000")
 
 @query(f"WITH {cases.values_sql('v', 'id, text', _VALUES)} SELECT id, trim(replace(replace(replace(text, ' ', ''), chr(160), ''), ',', '.'), '.') AS value FROM v")
 def plain_values(spark, sf):
-    return spark.createDataFrame(_VALUES, "id long, text string").select("id", nm.plain_value(F.col("text")).alias("value"))
+    return spark.createDataFrame(_VALUES, "id int, text string").select("id", nm.plain_value(F.col("text")).alias("value"))
 
 
 @query(f"""WITH {TEXTS_SQL}, {pieces_sql('w', 'cases', '[0-9]+|[^0-9]+')}, s AS (SELECT *, sum(length(p)) OVER (PARTITION BY id ORDER BY i) AS stop FROM w),
