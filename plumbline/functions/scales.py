@@ -7,6 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does it: the product with 10^digits, in doubles, to the nearest integer, halves away from zero.
+
+    F.round goes by the shortest decimal that reads as the value, so that 57/800 gives 0.0713; the product is 712.4999999999999 and gives 0.0712."""
+    scale = F.lit(10.0**digits)
+    return F.round(value * scale, 0) / scale
+
+
 def expected_mass(context_tokens: Column, position: Column) -> Column:
     """Share of context among the positions that a token sees."""
     seen = position + 1
