@@ -45,18 +45,20 @@ def clauses(spans: DataFrame, answers: DataFrame) -> DataFrame:
 
     Breaks are looked for in the sentence in which the span starts; where nothing but
     signs would be left, the sentence is the clause."""
-    rows = in_sentences(spans.withColumn("span_id", F.monotonically_increasing_id()), answers)
+    rows = in_sentences(spans, answers)
     breaks = clause_breaks(answers)
-    near = rows.select("span_id", "pair_id", "s_start", "s_end", "keep_start", "keep_end").join(breaks, "pair_id").where((F.col("b_start") >= F.col("s_start")) & (F.col("b_end") <= F.col("s_end")))
-    ends = near.groupBy("span_id").agg(F.max(F.when(F.col("b_end") <= F.col("keep_start"), F.col("b_end"))).alias("l"), F.min(F.when(F.col("b_start") >= F.col("keep_end"), F.col("b_start"))).alias("r"))
-    rows = rows.join(ends, "span_id", "left").join(answers.select("pair_id", "answer"), "pair_id")
+    # Ends hang on these columns alone; a generated id would change when the rows are computed again for the other side of the join.
+    key = ["pair_id", "s_start", "s_end", "keep_start", "keep_end"]
+    near = rows.select(*key).distinct().join(breaks, "pair_id").where((F.col("b_start") >= F.col("s_start")) & (F.col("b_end") <= F.col("s_end")))
+    ends = near.groupBy(*key).agg(F.max(F.when(F.col("b_end") <= F.col("keep_start"), F.col("b_end"))).alias("l"), F.min(F.when(F.col("b_start") >= F.col("keep_end"), F.col("b_start"))).alias("r"))
+    rows = rows.join(ends, key, "left").join(answers.select("pair_id", "answer"), "pair_id")
     left = F.greatest(F.col("s_start"), F.least(F.coalesce("l", "s_start"), F.col("keep_start")))
     right = F.least(F.col("s_end"), F.greatest(F.coalesce("r", "s_end"), F.col("keep_end")))
     rows = rows.withColumn("left", left).withColumn("right", right)
     bare = F.btrim(F.substring("answer", F.col("left") + 1, F.col("right") - F.col("left")), F.lit(STRIPPED)) == ""
     whole = (F.col("right") <= F.col("left")) | bare
     rows = rows.withColumn("start", F.when(whole, F.col("s_start")).otherwise(F.col("left")).cast("int")).withColumn("end", F.when(whole, F.col("s_end")).otherwise(F.col("right")).cast("int"))
-    return rows.drop("span_id", "s_start", "s_end", "l", "r", "left", "right", "answer")
+    return rows.drop("s_start", "s_end", "l", "r", "left", "right", "answer")
 
 
 def with_text(spans: DataFrame, answers: DataFrame) -> DataFrame:
