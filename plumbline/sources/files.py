@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,106 @@ def read_texts(spark: SparkSession, path: str, recursive: bool = True, endings:
     return rows.withColumn("text", F.when(F.col("synthetic"), F.col("text")).otherwise(corpus.tidy(F.col("text"))))
 
 
+#: What whole texts are stripped of at their ends.
+ENDS = " \t\r\n"
+
+
+def line_size(line: str, tidied: bool) -> tuple[int, bool, bool]:
+    """(characters, blank lines before, blank lines after) of a line as corpus.tidy leaves it, -1 characters if it is blank; of the line itself if not tidied."""
+    if not tidied:
+        return len(line), False, False
+    line = re.sub("[ \t]+", " ", line.removesuffix("\r").replace("\xad", "").replace("\xa0", " ")).strip(" ")
+    # A mark that stands in a text counts as the break that tidy makes of it.
+    return (len(line) + line.count("\x01"), False, False) if line else (-1, True, True)
+
+
+def joined_sizes(a: tuple | None, b: tuple | None) -> tuple | None:
+    """The size of lines that follow each other: a newline or blank between them, two newlines for blank lines; None without lines."""
+    if a is None or b is None:
+        return a or b
+    if a[0] < 0:
+        return (b[0], True, b[2])
+    if b[0] < 0:
+        return (a[0], a[1], True)
+    return (a[0] + b[0] + (2 if a[2] or b[1] else 1), a[1], b[2])
+
+
+class Size:
+    """The size of a stretch of lines, read one by one, for each case of its ends: [left][right], stripped (1) as the ends of a text or not (0)."""
+
+    def __init__(self, tidied: bool) -> None:
+        self.tidied = tidied
+        self.before: list[tuple | None] = [None, None]
+        self.open: str | None = None
+        self.after: tuple | None = None
+        self.first = True
+
+    def put(self, line: str) -> None:
+        if not line.strip(ENDS):
+            self.after = joined_sizes(self.after, line_size(line, self.tidied))
+            return
+        if self.open is None:
+            self.before = [self.after, None]
+        else:
+            self.before, self.first = [joined_sizes(self._until(left, 0), self.after) for left in (0, 1)], False
+        self.open, self.after = line, None
+
+    def _until(self, left: int, right: int) -> tuple | None:
+        line = self.open.lstrip(ENDS) if left and self.first else self.open
+        return joined_sizes(self.before[left], line_size(line.rstrip(ENDS) if right else line, self.tidied))
+
+    def flat(self) -> list[int]:
+        """has (whether anything but ENDS is there), then the four sizes."""
+        if self.open is None:
+            return [0, *map(int, self.after * 4)]
+        return [1, *(int(v) for left in (0, 1) for right in (0, 1) for v in (self._until(left, right) if right else joined_sizes(self._until(left, 0), self.after)))]
+
+
+def whole_size(parts: list[list[int]]) -> int | None:
+    """Characters of a text whose stretches have these flat sizes, in order; None if nothing but ENDS is there."""
+    held = None
+    for p in parts:
+        has, v = p[0], [tuple(p[i : i + 3]) for i in (1, 4, 7, 10)]
+        if held is None:
+            held = has, v
+        elif not has:
+            held = held[0], [joined_sizes(x, v[0]) if not held[0] or i % 2 == 0 else x for i, x in enumerate(held[1])]
+        elif not held[0]:
+            held = 1, [joined_sizes(held[1][0], v[0]), joined_sizes(held[1][0], v[1]), v[2], v[3]]
+        else:
+            held = 1, [joined_sizes(held[1][left], v[right]) for left in (0, 2) for right in (0, 1)]
+    return max(0, held[1][3][0]) if held and held[0] else None
+
+
+def text_lengths(spark: SparkSession, path: str, recursive: bool = True, endings: tuple[str, ...] = ("md", "txt")) -> DataFrame:
+    """(id, n_chars, synthetic): the lengths of the texts of read_texts, of files of any size.
+
+    A file is read in blocks by several tasks, line by line, so no text is held whole and
+    a line is the most that is. A byte order mark at the start of a file isn't counted."""
+    read = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(endings) + "}").option("lineSep", "\n").text(path)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([size.flat()], pa.list_(pa.int64()))], ["file", "block", "size"])
+
+        for batch in batches:
+            for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != at:
+                    if at is not None:
+                        yield out()
+                    at, size = (file, block), Size("/generated/" not in file)
+                size.put(line)
+        if at is not None:
+            yield out()
+
+    held = rows.mapInArrow(sizes, "file string, block long, size array<long>").groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "size"))), lambda p: p["size"]).alias("parts"))
+    whole = F.udf(whole_size, "long", useArrow=False)
+    return held.select(F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1).alias("id"), whole("parts").alias("n_chars"), F.contains("file", F.lit("/generated/")).alias("synthetic")).where("n_chars is not null")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(id, fields) of a manifest {"documents": {id: {...}}}; none if it holds something else."""
     held = spark.read.text(path, wholetext=True).select(F.from_json("value", "documents map<string,map<string,string>>").alias("m"))
