@@ -3,8 +3,10 @@
 Seeds are word k-mers whose hash is in the lowest quarter, and of every `window`
 k-mers without such a one that of smallest hash. So whether a k-mer is a seed hardly
 depends on the words around it, edited passages keep their seeds, and texts that share
-k + window - 1 words share one for certain. A seed is joined to the one document of
-smallest id that holds it (its home), if a sketch of the words before or after it agrees.
+k + window - 1 words share one for certain. A seed is joined to the document of smallest
+id that leads its like (its home): of the places of a seed in order, one whose words
+before and after, as a sketch, agree with those of no leader leads, and all are compared
+with all leaders. So a seed that also stands elsewhere, among other words, loses no link.
 Per document and home, seeds that continue each other become anchors, and anchors in
 order in both texts are chained, with a cost for the words between them, by a Fenwick
 tree of prefix maxima. Chains are then aligned: the words between anchors and beyond
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,14 +72,34 @@ def around(hashed: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return (before << U64(32) | after).view(np.int64)
 
 
-def agree(a: Column, b: Column) -> Column:
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether two sketches share most bits of one half."""
+    out = np.zeros(len(a), bool)
+    for shift in (0, 32):
+        x, y = ((v.view(U64) >> U64(shift)).astype(np.uint32) for v in (a, b))
+        most = np.maximum(np.bitwise_count(x), np.bitwise_count(y)).astype(np.int32)
+        out |= (x != 0) & (y != 0) & (20 * np.bitwise_count(x & y).astype(np.int32) >= 13 * most)
+    return out
+
 
-    def half(x: Column, y: Column) -> Column:
-        return (x != 0) & (y != 0) & (20 * F.bit_count(x.bitwiseAND(y)) >= 13 * F.greatest(F.bit_count(x), F.bit_count(y)))
+def led(h: np.ndarray, doc: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, their homes, leaders) as places in rows ordered by seed, document and place.
 
-    low = F.lit(0xFFFFFFFF)
-    return half(F.shiftrightunsigned(a, 32), F.shiftrightunsigned(b, 32)) | half(a.bitwiseAND(low), b.bitwiseAND(low))
+    A row whose surroundings agree with those of no leader of its seed leads; any other has
+    the first such leader as its home, and has none if that is in its own document."""
+    left = np.arange(len(h))
+    rows, homes, leaders = [], [], []
+    while len(left):
+        new = np.ones(len(left), bool)
+        new[1:] = h[left[1:]] != h[left[:-1]]
+        lead = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+        met = ~new & agree(near[left], near[lead])
+        other = met & (doc[left] != doc[lead])
+        rows.append(left[other])
+        homes.append(lead[other])
+        leaders.append(left[new])
+        left = left[~met & ~new]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, homes, leaders))
 
 
 def anchors(x: np.ndarray, y: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -338,9 +360,23 @@ def repeated_passages(documents: DataFrame, *, k: int = 5, window: int = 16, lea
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (h, doc, at, near)], ["h", "doc_id", "at", "near"])
 
     seeded = written(texts.mapInArrow(seeds, "h long, doc_id long, at int, near long"), "seeds")
-    homes = seeded.groupBy("h").agg(F.min(F.struct("doc_id", "at", "near")).alias("m"), F.max("doc_id").alias("top")).where("m.doc_id <> top")
-    homes = written(homes.select("h", F.col("m.doc_id").alias("home"), F.col("m.at").alias("y"), F.col("m.near").alias("known")), "homes")
-    met = seeded.join(homes, "h").where((F.col("doc_id") != F.col("home")) & agree(F.col("near"), F.col("known"))).select("doc_id", "home", F.col("at").alias("x"), "y")
+
+    def homed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by seed, document and place; the leaders of a batch's last seed go before the next batch."""
+        known: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("h", "doc_id", "at", "near")]
+            if not len(cols[0]):
+                continue
+            if known is not None:
+                cols = [np.concatenate(z) for z in zip(known, cols, strict=True)]
+            h, doc, at, near = cols
+            row, home, leaders = led(h, doc, near)
+            last = np.sort(leaders[h[leaders] == h[-1]])
+            known = [c[last] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[row], doc[home], at[row], at[home])], ["doc_id", "home", "x", "y"])
+
+    met = seeded.repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(homed, "doc_id long, home long, x int, y int")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by document and home; the last pair of a batch waits for the next batch."""
@@ -378,7 +414,6 @@ def repeated_passages(documents: DataFrame, *, k: int = 5, window: int = 16, lea
     with batches_of(spark, 50_000):
         linked = written(spread.mapInArrow(chained, CHAINS).withColumn("id", F.monotonically_increasing_id()), "chains")
     dropped(seeded)
-    dropped(homes)
 
     def words_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The stretches of words that each asking pair's alignments look at."""
