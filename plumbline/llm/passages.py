@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import U64, WordHashes, batches_of, dropped, shingles, sized, small_batches, word_count, words_of, written
+from plumbline.scratch import shuffles_deleted
 
 #: All chains of a document and a home: their anchors one after the other, and how many each chain has.
 CHAINS = "doc_id long, home long, xs array<int>, ys array<int>, lens array<int>, sizes array<int>"
@@ -346,20 +347,23 @@ def repeated_passages(documents: DataFrame, *, k: int = 5, window: int = 16, lea
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            doc, at, h, near = [], [], [], []
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                words = words_of(t.as_py())
-                if len(words) >= least_words:
-                    hashed = hashes.of(words)
-                    x, y = sampled(hashed, k, window)
-                    doc.append(np.full(len(x), i.as_py(), np.int64))
-                    at.append(x.astype(np.int32))
-                    h.append(y.view(np.int64))
-                    near.append(around(hashed, x, k))
-            if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (h, doc, at, near)], ["h", "doc_id", "at", "near"])
-
-    seeded = written(texts.mapInArrow(seeds, "h long, doc_id long, at int, near long"), "seeds")
+            for start in range(0, batch.num_rows, 500):
+                doc, at, h, near = [], [], [], []
+                part = batch.slice(start, 500)
+                for i, t in zip(part.column(0), part.column(1), strict=True):
+                    words = words_of(t.as_py())
+                    if len(words) >= least_words:
+                        hashed = hashes.of(words)
+                        x, y = sampled(hashed, k, window)
+                        doc.append(np.full(len(x), i.as_py(), np.int64))
+                        at.append(x.astype(np.int32))
+                        h.append(y.view(np.int64))
+                        near.append(around(hashed, x, k))
+                if doc:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (h, doc, at, near)], ["h", "doc_id", "at", "near"])
+
+    # Seeds are read once, so they are no table beside their shuffle; that goes when the chains stand.
+    seeded = texts.mapInArrow(seeds, "h long, doc_id long, at int, near long")
 
     def homed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by seed, document and place; the leaders of a batch's last seed go before the next batch."""
@@ -411,9 +415,8 @@ def repeated_passages(documents: DataFrame, *, k: int = 5, window: int = 16, lea
             yield done(wait)
 
     spread = met.repartition("doc_id").sortWithinPartitions("doc_id", "home", "x", "y")
-    with batches_of(spark, 50_000):
+    with batches_of(spark, 50_000), shuffles_deleted(spark):
         linked = written(spread.mapInArrow(chained, CHAINS).withColumn("id", F.monotonically_increasing_id()), "chains")
-    dropped(seeded)
 
     def words_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The stretches of words that each asking pair's alignments look at."""
@@ -432,8 +435,8 @@ def repeated_passages(documents: DataFrame, *, k: int = 5, window: int = 16, lea
         asks = linked.groupBy(F.col(of).alias("asked"), F.shiftright("id", 33).alias("task")).agg(F.collect_list(F.struct("id", F.col(starts).alias("starts"), "lens", "sizes")).alias("asks"))
         asks = written(asks.drop("task"), "asks")
         scratch.append(asks)
-        width = F.lit(64) + F.aggregate("asks", F.lit(0).cast("long"), lambda n, x: n + 64 + 8 * F.size(x["lens"]) + 4 * F.size(x["sizes"]))
-        got = texts.join(sized(asks, width), F.col("doc_id") == F.col("asked")).select("text", "asks")
+        # Always a shuffle, the same for both sides: asks grow with the corpus, and a broadcast while they are few would only hide what texts take later.
+        got = texts.join(asks.hint("merge"), F.col("doc_id") == F.col("asked")).select("text", "asks")
         return got.mapInArrow(words_between, "id long, starts array<int>, words array<array<int>>").select("id", F.col("starts").alias(f"{name}_at"), F.col("words").alias(name))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +450,8 @@ def repeated_passages(documents: DataFrame, *, k: int = 5, window: int = 16, lea
 
     scratch: list[DataFrame] = []
     both = linked.join(parts("doc_id", "xs", "p"), "id").join(parts("home", "ys", "q"), "id").select("doc_id", "home", "xs", "ys", "lens", "sizes", "p_at", "p", "q_at", "q")
-    found = written(both.mapInArrow(aligned, PASSAGES).distinct(), "passages")
+    with shuffles_deleted(spark):
+        found = written(both.mapInArrow(aligned, PASSAGES).distinct(), "passages")
     for used in (linked, *scratch):
         dropped(used)
     # In a text that repeats itself, the same words of the other text meet many shifted stretches: those that overlap count once.
