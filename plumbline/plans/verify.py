@@ -91,7 +91,7 @@ def result_spans(pairs: DataFrame, rows: DataFrame, expansion: str = "clause", l
     numbers = rows.where("borrowed").select("pair_id", "start", F.col("end"))
     text = sh.attribution_spans(numbers, rows, limits, answers)
     if cover:
-        text = text.unionByName(sh.coverage_spans(cv.coverage(pairs), limits, answers))
+        text = text.unionByName(sh.coverage_spans(written(cv.coverage(pairs), "facts"), limits, answers))
     return sh.merged(mask.unionByName(text))
 
 
